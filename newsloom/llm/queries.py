@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, encoding, splitting
+from newsloom.llm import bpe, encoding, leakage, splitting
 from newsloom.session import table
 
 #: Where the public tokenizers' files lie.
@@ -17,9 +18,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"), folder=TOKENIZERS)
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, into how many documents."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("longest").alias("longest"))
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), folder=TOKENIZERS)
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_items, p10_pieces)}
 SQL: dict[str, str] = {}
