@@ -7,13 +7,24 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, encoding, leakage, splitting
+from newsloom.llm import bpe, encoding, language, leakage, splitting
 from newsloom.session import table
 
 #: Where the public tokenizers' files lie.
 TOKENIZERS = os.environ.get("NEWSLOOM_TOKENIZERS", bpe.DEFAULT_FOLDER)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(table(spark, d, "articles_raw"), table(spark, d, "lang_samples"))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of each headline and sentence."""
+    rows = table(spark, d, "articles_raw")
+    found = language.identify(rows, table(spark, d, "lang_samples"), rows)
+    return found.select("raw_offset", "main", F.inline("segments"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"), folder=TOKENIZERS)
 
@@ -35,5 +46,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), folder=TOKENIZERS)
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_items, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p8_ids, p9_found, p9_items, p10_pieces)}
 SQL: dict[str, str] = {}
