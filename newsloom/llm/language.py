@@ -29,7 +29,7 @@ MAX_SAMPLES = 20_000
 #: Rows of the corpus with a label that the models agree with which they are trained on as well, those with the lowest hash.
 LABELLED_ROWS = 6_000
 #: Bits by which a segment must favour its language over the row's main one to count as another language.
-MARGIN_BITS = 12.0
+MARGIN_BITS = 4.0
 #: The same for each byte of the segment: what models trained on few sentences differ by within one language.
 MARGIN_RATE = 0.4
 #: Bits by which the main language of a row must lead; below, the row's language is unknown.
