@@ -7,13 +7,22 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, encoding, language, leakage, splitting
+from newsloom.llm import bpe, encoding, language, leakage, splitting, truncation
 from newsloom.session import table
 
 #: Where the public tokenizers' files lie.
 TOKENIZERS = os.environ.get("NEWSLOOM_TOKENIZERS", bpe.DEFAULT_FOLDER)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "articles_raw"))
+
+
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts."""
+    return truncation.by_source(table(spark, d, "articles_raw"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return language.mislabelled(table(spark, d, "articles_raw"), table(spark, d, "lang_samples"))
 
@@ -46,5 +55,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), folder=TOKENIZERS)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p8_ids, p9_found, p9_items, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_segments, p8_ids, p9_found, p9_items, p10_pieces)}
 SQL: dict[str, str] = {}
