@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, encoding, language, leakage, splitting, truncation
+from newsloom.llm import bpe, encoding, language, leakage, neardup, splitting, truncation
+from newsloom.operators import delivery
 from newsloom.session import table
 
 #: Where the public tokenizers' files lie.
@@ -34,6 +35,23 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("raw_offset", "main", F.inline("segments"))
 
 
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    """One row per message that has an identifier, in its normal spelling."""
+    rows = table(spark, d, "articles_raw").select("id", "fetched_at_ms", "raw_offset", "title", "summary").where("id IS NOT NULL")
+    return delivery.keep_one(rows).withColumn("id", delivery.message_key("id"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = neardup.near_duplicates(_articles(spark, d))
+    return neardup.pairs(links, members).select("id_a", "id_b")
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Group and number of links of each article; copies of one text share both."""
+    links, members = neardup.near_duplicates(_articles(spark, d))
+    return neardup.groups(links, members).select(F.col("key").alias("id"), "group", "links")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"), folder=TOKENIZERS)
 
@@ -55,5 +73,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), folder=TOKENIZERS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_segments, p8_ids, p9_found, p9_items, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_segments, p7_found, p7_groups, p8_ids, p9_found, p9_items, p10_pieces)}
 SQL: dict[str, str] = {}
