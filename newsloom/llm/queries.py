@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, encoding, language, leakage, neardup, splitting, truncation
+from newsloom.llm import bpe, encoding, knn, language, leakage, neardup, splitting, truncation
 from newsloom.operators import delivery
 from newsloom.session import table
 
@@ -35,6 +35,20 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("raw_offset", "main", F.inline("segments"))
 
 
+def _graph(spark: SparkSession, d: str) -> knn.Graph:
+    return knn.Graph(table(spark, d, "articles_embedded"), "input_offset", "vector", "model_version", size=64)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.pairs(_graph(spark, d).neighbours())
+
+
+def p6_search(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy search of every hundredth row's vector against all; its own row is among the answers."""
+    asking = table(spark, d, "articles_embedded").where("input_offset % 100 = 0")
+    return _graph(spark, d).search(asking, "input_offset", "vector", "model_version")
+
+
 def _articles(spark: SparkSession, d: str) -> DataFrame:
     """One row per message that has an identifier, in its normal spelling."""
     rows = table(spark, d, "articles_raw").select("id", "fetched_at_ms", "raw_offset", "title", "summary").where("id IS NOT NULL")
@@ -73,5 +87,13 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), folder=TOKENIZERS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_segments, p7_found, p7_groups, p8_ids, p9_found, p9_items, p10_pieces)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_segments, p6_found, p6_search, p7_found, p7_groups, p8_ids, p9_found, p9_items, p10_pieces)}
+_NEAR = """v AS (
+  SELECT input_offset o, model_version m, list_transform(vector, lambda x: x::DOUBLE) x FROM articles_embedded
+  WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+c AS (SELECT a.o a, b.o b, round(list_cosine_similarity(a.x, b.x), 6) s FROM v a JOIN v b ON a.m = b.m AND a.o <> b.o),
+n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) r FROM c WHERE s >= 0.82)"""
+
+SQL: dict[str, str] = {
+    "p6_found": f"WITH {_NEAR} SELECT DISTINCT least(a, b) offset_a, greatest(a, b) offset_b FROM n WHERE r <= 5",
+}
