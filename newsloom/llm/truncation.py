@@ -27,35 +27,45 @@ PILE, PILE_LEAST, AROUND = 6.0, 8, 5
 CUT_MARK = r"(?:\s*(?:…|\.\.\.+|\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|\(more\)|&hellip;|&#8230;))+\s*$"
 CLOSERS = r"[\s\"'”’»›）)\]」』*+]*"
 STOP_END = r"[.!?…。！？]" + CLOSERS + "$"
-BROKEN = r"(?:&#?\w{0,8}|<[^<>]{0,200}|�)\s*$"
-OPEN = r"(?:\([^()]{0,60}|\[[^\[\]]{0,60}|«[^«»]{0,200}|“[^“”]{0,200}|„[^„“”]{0,200}|「[^「」]{0,200})$"
+BROKEN = r"(?:&#?\w{0,8}|�)\s*$"
+OPEN = r"(?:\([^()]{0,60}|\[[^\[\]]{0,60}|«[^«»]{0,99}|„[^„“”]{0,99}|「[^「」]{0,99})$"
 #: Notes behind a whole text: bracketed notes, counters, signs, a word behind a dash.
 NOTES = r"(?:\s*(?:\([^()]*\)|\[[^\[\]]*\]|[*+]+|\s[–—-]\s\p{L}{2,8}))+\s*$"
-TOKEN = r"\p{N}+|[\p{IsKatakana}ー]+|[\p{IsHan}\p{IsHiragana}]|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[.!?。！？]+|[^\s\p{L}\p{N}\p{M}]"
+TOKEN = r"\p{N}+|[\p{IsKatakana}ー]+|[\p{IsHan}\p{IsHiragana}]|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[^\s\p{L}\p{N}\p{M}]"
 STOP = "."
 
 
+#: Characters at the end of a value that are looked at, and those of them that hold its last three words.
+TAIL, LAST_WORDS = 110, 64
+
+
 def plain(text: Column) -> Column:
     """The text without markup and entities of white space."""
-    t = F.regexp_replace(text, r"<[^<>]{0,300}>", " ")
-    return F.rtrim(F.regexp_replace(t, r"&nbsp;|&#160;| |　", " "))
+    t = F.when(F.instr(text, "<") > 0, F.regexp_replace(text, r"<[^<>]{0,300}>", " ")).otherwise(text)
+    t = F.when(F.instr(t, "&") > 0, F.regexp_replace(t, r"&nbsp;|&#160;", " ")).otherwise(t)
+    return F.rtrim(F.translate(t, "\u00a0\u3000\t\r\n", "     "))
+
 
+def has_mark(p: Column) -> Column:
+    return F.right(p, F.lit(1)).isin("…", ".", "]", ")", ";") & F.right(p, F.lit(16)).rlike(CUT_MARK)
 
-def ending(text: Column) -> Column:
+
+def ending(p: Column) -> Column:
     """What ends the text once cut marks or notes behind it are taken off."""
-    return F.rtrim(F.regexp_replace(F.regexp_replace(text, CUT_MARK, ""), NOTES, ""))
+    t = F.when(has_mark(p), F.regexp_replace(p, CUT_MARK, "")).otherwise(p)
+    noted = F.right(t, F.lit(1)).isin(")", "]", "*", "+") | F.right(t, F.lit(12)).rlike(r"\s[–—-]\s")
+    return F.rtrim(F.when(noted, F.regexp_replace(t, NOTES, "")).otherwise(t))
 
 
 def tokens(text: Column) -> Column:
-    """Words, numbers, signs; Japanese by character, katakana in runs. All stops are one token."""
-    t = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    return F.transform(t, lambda x: F.when(x.rlike(r"^[.!?。！？]"), F.lit(STOP)).otherwise(x))
+    """Words, numbers, signs; Japanese by character, katakana in runs; every stop is the same."""
+    return F.regexp_extract_all(F.translate(text, "!?。！？", "....."), F.lit(TOKEN), F.lit(0))
 
 
 def masked(x: Column) -> Column:
     """Numbers, katakana and capitalised words each as one class: most are names."""
-    name = F.when(x.rlike(r"^\p{Lu}"), F.lit("X")).when(x.rlike(r"^\p{N}"), F.lit("0")).otherwise(F.lit("K"))
-    return F.when(x.rlike(r"^[\p{N}\p{IsKatakana}ー\p{Lu}]"), name).otherwise(x)
+    c = F.substring(x, 1, 1)
+    return F.when((c >= "0") & (c <= "9"), F.lit("0")).when((c >= "ァ") & (c <= "ヿ"), F.lit("K")).when(c != F.lower(c), F.lit("X")).otherwise(x)
 
 
 def values(rows: DataFrame, key: str = "raw_offset", source: str = "source_id", fields: tuple[str, ...] = ("title", "summary")) -> DataFrame:
@@ -72,34 +82,32 @@ def counts(vals: DataFrame, headline: str = "title") -> DataFrame:
     its end. Ends of other fields and behind cut marks tell nothing and are
     left out.
     """
-    texts = vals.select("field", "text").distinct()
-    t = texts.select("field", (F.col("text").rlike(CUT_MARK) | F.col("text").rlike(BROKEN)).alias("cut"), tokens(ending(plain(F.col("text")))).alias("r"))
-    t = t.withColumn("m", F.transform("r", masked))
-    grams = F.expr(f"""transform(sequence(0, size(r) - 1), i -> struct(
-        concat_ws(' ', if(i >= 2, get(m, i - 2), ''), if(i >= 1, get(m, i - 1), '')) AS ab, get(r, i) AS c,
-        CASE WHEN i = size(r) - 1 THEN if(field = '{headline}' AND NOT cut, 1, 2) WHEN get(r, i + 1) = '{STOP}' THEN 3 ELSE 0 END AS e))""")
-    g = t.where(F.size("r") > 0).select(F.inline(grams)).where(f"c <> '{STOP}' AND e <> 2")
+    t = vals.select("field", "text").distinct().withColumn("p", plain(F.col("text")))
+    t = t.select("field", (has_mark(F.col("p")) | F.right("text", F.lit(12)).rlike(BROKEN)).alias("cut"), tokens(ending(F.col("p"))).alias("r"))
+    # Each word beside the two before it and the one after it.
+    pad = F.concat(F.array(F.lit(""), F.lit("")), "r")
+    zipped = F.arrays_zip(pad.alias("a"), F.slice(pad, 2, F.size("r") + 1).alias("b"), F.col("r").alias("c"), F.slice("r", 2, F.size("r")).alias("d"))
+    g = t.select("field", "cut", F.inline(zipped)).toDF("field", "cut", "a", "b", "c", "d").where(f"c IS NOT NULL AND c <> '{STOP}'")
+    end = F.when(F.col("d") == STOP, F.lit(3)).when(F.col("d").isNotNull(), F.lit(0)).when((F.col("field") == headline) & ~F.col("cut"), F.lit(1))
+    g = g.select(F.concat_ws(" ", masked(F.col("a")), masked(F.col("b"))).alias("ab"), "c", end.alias("e")).where("e IS NOT NULL")
     return g.groupBy("ab", "c").agg(*[F.count_if(F.col("e") == k).alias(n) for n, k in (("inside", 0), ("stopped", 3), ("ended", 1))])
 
 
 def ends(vals: DataFrame) -> DataFrame:
     """What each value's characters show: mark, broken, open, stop, its length, and the words of its end."""
-    v = vals.withColumn("p", plain(F.col("text")))
-    v = v.withColumn("tail", F.substring(ending(F.col("p")), -120, 120))
-    r = tokens(F.col("tail"))
-    v = v.select(
-        "key", "source", "field",
-        F.col("p").rlike(CUT_MARK).alias("mark"), F.col("text").rlike(BROKEN).alias("broken"), F.col("p").rlike(OPEN).alias("open"),
-        (F.col("p").rlike(STOP_END) | F.col("tail").rlike(STOP_END)).alias("stop"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
-        r.alias("r"), F.col("text").rlike(r"[\p{L},]\s+$").alias("blank"), F.xxhash64("text").alias("digest"),
+    v = vals.select(
+        "key", "source", "field", plain(F.right("text", F.lit(TAIL))).alias("p"), F.right("text", F.lit(12)).alias("e"), F.right("text", F.lit(TAIL)).alias("t"),
+        F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("digest"),
     )
-    m = F.transform(F.slice("r", -3, 3), masked)
-    v = v.withColumn("r", F.when(F.size("r") < 3, F.concat(F.array(F.lit(""), F.lit("")), "r")).otherwise(F.col("r")))
-    v = v.withColumn("m", F.transform(F.slice("r", -3, 3), masked))
-    return v.select(
-        "key", "source", "field", "mark", "broken", "open", "stop", "blank", "chars", "bytes", "digest",
-        F.concat_ws(" ", F.expr("get(m, 0)"), F.expr("get(m, 1)")).alias("ab"), F.element_at("r", -1).alias("c"),
+    v = v.withColumn("tail", ending(F.col("p")))
+    broken = F.col("e").rlike(BROKEN) | ((F.instr("t", "<") > 0) & F.col("t").rlike(r"<[^<>]*$"))
+    v = v.select(
+        "key", "source", "field", has_mark(F.col("p")).alias("mark"), broken.alias("broken"), F.col("p").rlike(OPEN).alias("open"),
+        (F.right("p", F.lit(16)).rlike(STOP_END) | F.right("tail", F.lit(16)).rlike(STOP_END)).alias("stop"),
+        tokens(F.right("tail", F.lit(LAST_WORDS))).alias("r"), F.col("e").rlike(r"[\p{L},]\s+$").alias("blank"), "chars", "bytes", "digest",
     )
+    word = lambda k: F.coalesce(F.try_element_at("r", F.lit(-k)), F.lit(""))
+    return v.withColumn("ab", F.concat_ws(" ", masked(word(3)), masked(word(2)))).withColumn("c", F.try_element_at("r", F.lit(-1))).drop("r")
 
 
 def judged(rows: DataFrame, key: str = "raw_offset", source: str = "source_id", fields: tuple[str, ...] = ("title", "summary")) -> DataFrame:
@@ -144,7 +152,7 @@ def judged(rows: DataFrame, key: str = "raw_offset", source: str = "source_id",
     limits = lambda u: piles.where(F.col("unit") == u).select("source", "field", F.col("len").alias(u), F.lit(True).alias(f"at_{u}"))
     v = v.join(habit, ["source", "field"], "left").join(limits("chars"), ["source", "field", "chars"], "left").join(limits("bytes"), ["source", "field", "bytes"], "left")
     limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
-    cut = F.col("broken") | F.col("mark") | F.col("open") | (~F.col("stop") & (F.col("inner") | F.coalesce("sets_stop", F.lit(False)) | limit | F.col("blank")))
+    cut = F.col("broken") | F.col("mark") | (~F.col("stop") & (F.col("open") | F.col("inner") | F.coalesce("sets_stop", F.lit(False)) | limit | F.col("blank")))
     return v.select(F.col("key").alias(key), F.col("source").alias(source), "field", "mark", "broken", "open", "stop", "blank", "inside", "terminal", "share", "partial", limit.alias("limit"), cut.alias("cut"), F.col("sets_stop"))
 
 
