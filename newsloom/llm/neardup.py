@@ -12,7 +12,7 @@ once. Between different texts two kinds of keys bring candidates together:
 Which sizes are heavy is decided by cost: what the lists of a size would hold
 against the keys that its subsets take. Every candidate is then held against
 both texts. Lists lose nothing; a pair of light sets at exactly the bound
-misses all subsets with a chance of (1 - 0.8 ** ROWS) ** BANDS = 2e-4, at 0.85
+misses all subsets with a chance of (1 - 0.8 ** ROWS) ** BANDS = 3e-4, at 0.85
 of 1e-6.
 """
 
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from newsloom.session import Stages
 
 GRAM, THRESHOLD = 5, 0.8
-ROWS, BANDS = 7, 36
+ROWS, BANDS = 8, 44
 #: Members of a key's group that are paired at a time; a larger group is handed out as pairs of such blocks.
 BLOCK = 256
 #: Texts that the cost of lists is estimated from.
 COST_SAMPLE = 400
 #: Characters that a worker hashes at a time.
 CHARS = 200_000
+#: Bits of the sketch that spares most false candidates the comparison of their sets.
+PARITY = 512
 _SIZE_BITS = 14
 
 
@@ -216,33 +218,41 @@ def _lists(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([col(a), col(b)], names=["a", "b"])
 
 
+def _parities(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, size) of each set: PARITY counters modulo 2. Two sets differ in at least as many elements as their bits do."""
+    owner, h = gram_hashes(texts)
+    owner, h, count = _distinct(owner, h, len(texts))
+    n = np.bincount(owner * PARITY + (h & np.uint64(PARITY - 1)).astype(np.int64), minlength=len(texts) * PARITY)
+    return np.packbits((n & 1).astype(np.uint8).reshape(len(texts), PARITY), axis=1), count
+
+
 def _verified(threshold: float):
+    grams = lambda t: {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok, sim = [], []
-            sets: dict[str, frozenset] = {}
-
-            def grams(t: str) -> frozenset:
-                if t not in sets:
-                    if len(sets) > 5_000:
-                        sets.clear()
-                    sets[t] = frozenset(t[i : i + GRAM] for i in range(len(t) - GRAM + 1))
-                return sets[t]
-
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                p, q = grams(x), grams(y)
-                n = len(p & q)
-                # In whole numbers as far as they go: 0.8 is 4 / 5.
-                if n and n / (len(p) + len(q) - n) >= threshold - 1e-12:
-                    ok.append(i)
-                    sim.append(n / (len(p) + len(q) - n))
-            take = pa.array(ok, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                b = batch.slice(at, 1_000)
+                x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+                number = {t: i for i, t in enumerate(dict.fromkeys(x + y))}
+                bits, count = _parities(list(number))
+                i, j = np.array([number[t] for t in x]), np.array([number[t] for t in y])
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                maybe = apart <= (1 - threshold) / (1 + threshold) * (count[i] + count[j]) + 1e-9
+                ok, sim = [], []
+                for k in np.flatnonzero(maybe).tolist():
+                    p, q = grams(x[k]), grams(y[k])
+                    n = len(p & q)
+                    if n / (len(p) + len(q) - n) >= threshold - 1e-12:
+                        ok.append(k)
+                        sim.append(n / (len(p) + len(q) - n))
+                take = pa.array(ok, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
 
-def similar_texts(texts: DataFrame, stages: Stages, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None) -> DataFrame:
+def similar_texts(texts: DataFrame, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None) -> DataFrame:
     """(a, b, similarity) with a < b for texts ``tid``, ``text``, all different, whose similarity reaches the threshold."""
     if bounds is None:
         n = F.greatest(F.length("text") - (GRAM - 1), F.lit(0))
@@ -271,27 +281,23 @@ def _meeting(sample: list[str]) -> float:
     return float((df[inverse] - 1).mean() / (len(sample) - 1))
 
 
-def classes(rows: DataFrame, key: str, text: Column, stages: Stages) -> tuple[DataFrame, DataFrame]:
-    """(members, texts): ``key`` with the digest of its normal text; and each different text once with a number ``tid``.
-
-    Rows whose text has no substring of GRAM characters have no set and are left out.
-    """
-    t = rows.select(F.col(key).alias("key"), normal(text).alias("text")).where((F.length("text") >= GRAM) & F.col("key").isNotNull())
-    t = t.withColumn("digest", F.unhex(F.md5("text")))
-    one = stages.write(t.groupBy("digest").agg(F.first("text").alias("text")).withColumn("tid", F.monotonically_increasing_id()), "texts")
-    members = t.select("key", "digest").join(one.select("digest", "tid"), "digest").select("key", "tid")
-    return stages.write(members, "members"), one.select("tid", "text")
+def digest(text: Column) -> Column:
+    """What tells different normal texts apart, as bytes."""
+    return F.unhex(F.md5(normal(text)))
 
 
-def near_duplicates(rows: DataFrame, key: str = "id", text: Column | None = None, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, members): (a, b, similarity) between different texts, and (key, tid): which rows have which text.
+def near_duplicates(rows: DataFrame, members: DataFrame, text: Column | None = None, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, members): (a, b, similarity) between different texts, and (key, tid): which key has which text.
 
-    Rows with a null key or without a set take no part; copies meet in one
-    ``tid`` and are not paired.
+    ``rows`` hold the texts, ``members`` say by (key, digest) who has which.
+    A key without a set, for its text has fewer than GRAM characters, takes no
+    part, nor does a null key; copies meet in one ``tid`` and are not paired.
     """
     stages = Stages(rows.sparkSession, "neardup")
-    members, texts = classes(rows, key, article_text() if text is None else text, stages)
-    return stages.write(similar_texts(texts, stages, threshold, bounds), "links"), members
+    t = rows.select((article_text() if text is None else text).alias("t")).select(normal(F.col("t")).alias("text")).where(F.length("text") >= GRAM)
+    one = stages.write(t.groupBy(F.unhex(F.md5("text")).alias("digest")).agg(F.first("text").alias("text")).withColumn("tid", F.monotonically_increasing_id()), "texts")
+    who = stages.write(members.where("key IS NOT NULL").join(one.select("digest", "tid"), "digest").select("key", "tid"), "members")
+    return stages.write(similar_texts(one.select("tid", "text"), threshold, bounds), "links"), who
 
 
 def pairs(links: DataFrame, members: DataFrame) -> DataFrame:

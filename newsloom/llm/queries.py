@@ -49,21 +49,21 @@ def p6_search(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d).search(asking, "input_offset", "vector", "model_version")
 
 
-def _articles(spark: SparkSession, d: str) -> DataFrame:
-    """One row per message that has an identifier, in its normal spelling."""
-    rows = table(spark, d, "articles_raw").select("id", "fetched_at_ms", "raw_offset", "title", "summary").where("id IS NOT NULL")
-    return delivery.keep_one(rows).withColumn("id", delivery.message_key("id"))
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicates among messages that have an identifier, each once: repeats are sorted out on digests, texts stay behind."""
+    rows = table(spark, d, "articles_raw").where("id IS NOT NULL")
+    narrow = rows.select("id", "fetched_at_ms", "raw_offset", neardup.digest(neardup.article_text()).alias("digest"))
+    members = delivery.keep_one(narrow).select(delivery.message_key("id").alias("key"), "digest")
+    return neardup.near_duplicates(rows, members)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    links, members = neardup.near_duplicates(_articles(spark, d))
-    return neardup.pairs(links, members).select("id_a", "id_b")
+    return neardup.pairs(*_near(spark, d)).select("id_a", "id_b")
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     """Group and number of links of each article; copies of one text share both."""
-    links, members = neardup.near_duplicates(_articles(spark, d))
-    return neardup.groups(links, members).select(F.col("key").alias("id"), "group", "links")
+    return neardup.groups(*_near(spark, d)).select(F.col("key").alias("id"), "group", "links")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
