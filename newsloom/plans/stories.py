@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators import briefing
 from newsloom.operators import readmodel as rm
 from newsloom.session import table
 
@@ -91,7 +92,7 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sink_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Next offset of each batch's deliveries: merged by the highest."""
+    """Next offset of each source kind: merged by the highest."""
     return table(spark, d, "articles_raw").groupBy("source_kind").agg((F.max("raw_offset") + 1).alias("next_offset"), F.count("*").alias("n"))
 
 
@@ -108,11 +109,18 @@ def replay_diff(spark: SparkSession, d: str) -> DataFrame:
     return rm.diff(e, e.where("input_offset % 500 <> 499"), ["input_offset", "seq"], ["input_offset", "seq", "kind", "story_id"])
 
 
+def briefings(spark: SparkSession, d: str) -> DataFrame:
+    """A spoken briefing in English of every story that the log ever had open memberships in."""
+    m = rm.memberships(_log(spark, d)).where("to_offset IS NULL").select("article_id", "story_id", F.coalesce("score", F.lit(1.0)).alias("score"))
+    a = table(spark, d, "articles_embedded").select("input_offset", "article.*").where("title IS NOT NULL").groupBy("id").agg(F.min_by(F.struct("source_id", "lang", "title", "summary"), "input_offset").alias("a")).select("id", "a.*")
+    return briefing.compose(m.join(a, m.article_id == a.id).select("story_id", "source_id", "lang", "title", "summary", "score"), "en")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         story_table, membership_intervals, stories_as_of, stories_recent, stories_by_size, top_sources, activity_24h, timeline_buckets,
-        story_lineage, story_events_page, offset_at_time, event_kinds, totals, sink_offsets, topic_check, replay_diff,
+        story_lineage, story_events_page, offset_at_time, event_kinds, totals, sink_offsets, topic_check, replay_diff, briefings,
     )
 }
 
