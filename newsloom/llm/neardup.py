@@ -69,13 +69,12 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's different hashes, ascending, and how many."""
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    owner, h = owner[new], h[new]
-    return owner, h, np.bincount(owner, minlength=n)
+    """Each text's different hashes (of 48 bits), ascending, and how many; for fewer than 65,536 texts."""
+    k = np.sort(owner.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16))
+    if len(k):
+        k = k[np.concatenate([[True], k[1:] != k[:-1]])]
+    owner = (k >> np.uint64(48)).astype(np.int64)
+    return owner, k & np.uint64(2**48 - 1), np.bincount(owner, minlength=n)
 
 
 def _multipliers() -> np.ndarray:
@@ -94,7 +93,7 @@ def subset_keys(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, n
         x *= np.uint64(0x94D049BB133111EB)
         part = base + ((x >> np.uint64(40)) * np.uint64(BANDS) >> np.uint64(24)).astype(np.int64)
         least = np.full(n * BANDS, none)
-        np.minimum.at(least, part, x & np.uint64(2**40 - 1) | (h << np.uint64(40)))
+        np.minimum.at(least, part, x << np.uint64(24) | h & np.uint64(2**24 - 1))
         filled |= least != none
         key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
@@ -141,7 +140,7 @@ def heavy_sizes(sizes: list[tuple[int, int]], meet: float, threshold: float = TH
 def _blocks(texts: list[str]) -> Iterator[slice]:
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHARS:
+        if size and (size + len(t) > CHARS or i - start >= 60_000):
             yield slice(start, i)
             start, size = i, 0
         size += len(t)
