@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 #: Media elements that some publishers leave empty.
 EMPTY_MEDIA = "title text credit description keywords category copyright".split()
 
-_RSS = "title string, link string, guid string, description string, `content:encoded` string, `media:description` string, pubDate string, `dc:date` string"
-_LINK = "struct<_href: string, _rel: string>"
-_TEXT = "struct<_VALUE: string>"
-_ATOM = f"title string, id string, link array<{_LINK}>, summary string, content string, published string, updated string"
-_CHANNEL = f"channel struct<language: string, item: array<struct<{_RSS.replace(' string', ': string')}>>>"
-_FEED = f"`_xml:lang` string, entry array<struct<{_ATOM.replace(' string', ': string').replace('link array', 'link: array')}>>"
+_ITEM = "title: string, link: string, guid: string, description: string, `content:encoded`: string, `media:description`: string, pubDate: string, `dc:date`: string"
+_CHANNEL = f"channel struct<language: string, item: array<struct<{_ITEM}>>>"
+_ENTRY = "title: string, id: string, link: array<struct<_href: string, _rel: string>>, summary: string, content: string, published: string, updated: string"
+_FEED = f"`_xml:lang` string, entry array<struct<{_ENTRY}>>"
 
 
 def strip_empty_media(body: Column) -> Column:
@@ -32,8 +30,10 @@ def strip_empty_media(body: Column) -> Column:
 
 def _when(*texts: Column) -> Column:
     """Epoch milliseconds of the first text that reads as a time."""
-    forms = ["EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"]
-    return F.coalesce(*[F.unix_millis(F.try_to_timestamp(F.trim(t), F.lit(f))) for t in texts for f in forms])
+    forms = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"]
+    # Weekdays can't be parsed and tell nothing; the named zones of feeds are UTC.
+    plain = lambda t: F.regexp_replace(F.regexp_replace(F.trim(t), r"^[A-Za-z]+,\s*", ""), r"\s(GMT|UTC|UT|Z)$", " +0000")
+    return F.coalesce(*[F.unix_millis(F.try_to_timestamp(plain(t), F.lit(f))) for t in texts for f in forms])
 
 
 def _filled(*texts: Column) -> Column:
