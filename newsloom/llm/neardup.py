@@ -296,6 +296,7 @@ def near_duplicates(rows: DataFrame, members: DataFrame, text: Column | None = N
     t = rows.select((article_text() if text is None else text).alias("t")).select(normal(F.col("t")).alias("text")).where(F.length("text") >= GRAM)
     one = stages.write(t.groupBy(F.unhex(F.md5("text")).alias("digest")).agg(F.first("text").alias("text")).withColumn("tid", F.monotonically_increasing_id()), "texts")
     who = stages.write(members.where("key IS NOT NULL").join(one.select("digest", "tid"), "digest").select("key", "tid"), "members")
+    stages.sweep()
     return stages.write(similar_texts(one.select("tid", "text"), threshold, bounds), "links"), who
 
 
