@@ -251,7 +251,7 @@ def _verified(threshold: float):
     return run
 
 
-def similar_texts(texts: DataFrame, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None) -> DataFrame:
+def similar_texts(texts: DataFrame, stages: Stages, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None) -> DataFrame:
     """(a, b, similarity) with a < b for texts ``tid``, ``text``, all different, whose similarity reaches the threshold."""
     if bounds is None:
         n = F.greatest(F.length("text") - (GRAM - 1), F.lit(0))
@@ -265,6 +265,9 @@ def similar_texts(texts: DataFrame, threshold: float = THRESHOLD, bounds: tuple[
     pairs = units.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b")).where("a < b")
     like = (sized("a") == top) | (sized("b") == top) | (F.least(sized("a"), sized("b")) >= threshold * F.greatest(sized("a"), sized("b")) - 1e-9)
     pairs = pairs.where(like).distinct().select(F.shiftright("a", _SIZE_BITS).alias("a"), F.shiftright("b", _SIZE_BITS).alias("b"))
+    # The keys' shuffle goes before the texts' begins.
+    pairs = stages.write(pairs, "pairs")
+    stages.sweep()
     left, right = texts.select(F.col("tid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("tid").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_verified(threshold), "a long, b long, similarity double")
@@ -297,7 +300,7 @@ def near_duplicates(rows: DataFrame, members: DataFrame, text: Column | None = N
     one = stages.write(t.groupBy(F.unhex(F.md5("text")).alias("digest")).agg(F.first("text").alias("text")).withColumn("tid", F.monotonically_increasing_id()), "texts")
     who = stages.write(members.where("key IS NOT NULL").join(one.select("digest", "tid"), "digest").select("key", "tid"), "members")
     stages.sweep()
-    return stages.write(similar_texts(one.select("tid", "text"), threshold, bounds), "links"), who
+    return stages.write(similar_texts(one.select("tid", "text"), stages, threshold, bounds), "links"), who
 
 
 def pairs(links: DataFrame, members: DataFrame) -> DataFrame:
