@@ -40,7 +40,7 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "mean")
 def centering(df: DataFrame, lang: str, vector: str, least: int) -> DataFrame:
     """(lang, mean): the mean of each language with at least ``least`` vectors, and of all under a null language."""
     many = df.groupBy(lang).count().where(F.col("count") >= least).select(lang)
-    per = mean_vectors(df.join(F.broadcast(many.limit(10_000)), lang, "left_semi"), [lang], vector)
+    per = mean_vectors(df.join(many, lang, "left_semi"), [lang], vector)
     everything = mean_vectors(df.withColumn("__one", F.lit(1)), ["__one"], vector).select(F.lit(None).cast("string").alias(lang), "mean")
     return per.unionByName(everything)
 
@@ -49,7 +49,7 @@ def centered(df: DataFrame, means: DataFrame, lang: str, vector: str) -> DataFra
     """``vector`` without its language's mean, or the mean of all, at unit length."""
     per = means.where(F.col(lang).isNotNull()).select(F.col(lang).alias("__l"), F.col("mean").alias("__m"))
     rest = means.where(F.col(lang).isNull()).select(F.col("mean").alias("__g"))
-    j = df.join(F.broadcast(per.limit(10_000)), F.col(lang) == F.col("__l"), "left").join(F.broadcast(rest.limit(1)))
+    j = df.join(per, F.col(lang) == F.col("__l"), "left").join(F.broadcast(rest.limit(1)))
     moved = F.zip_with(doubles(F.col(vector)), F.coalesce("__m", "__g"), lambda x, y: x - y)
     return j.withColumn(vector, unit(moved)).drop("__l", "__m", "__g")
 

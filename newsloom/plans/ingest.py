@@ -34,7 +34,7 @@ def truncated_summaries(spark: SparkSession, d: str) -> DataFrame:
 def _normalized(spark: SparkSession, d: str) -> DataFrame:
     """All articles with cleaned texts, corrected event time, language and the reason for a rejection."""
     r = _raw(spark, d)
-    sources = F.broadcast(table(spark, d, "feed_sources").select("source_id", F.col("lang").alias("configured")).withColumnRenamed("source_id", "sid").limit(100_000))
+    sources = table(spark, d, "feed_sources").select(F.col("source_id").alias("sid"), F.col("lang").alias("configured"))
     t = r.withColumn("url", urls.canonical(F.col("url"))).withColumn("title", tx.clean_html(F.col("title"))).withColumn("summary", tx.truncate(tx.clean_html(F.coalesce("summary", F.lit(""))), SUMMARY_CHARS))
     t = t.withColumn("summary", F.when(F.col("summary") == F.col("title"), "").otherwise(F.col("summary"))).withColumn("event_ms", lateness.event_time())
     t = t.join(sources, F.split_part("source_id", F.lit(":"), F.lit(1)) == F.col("sid"), "left")
