@@ -119,14 +119,14 @@ class Vectors:
         self.keys.append(key)
         self.n += 1
 
-    def nearest(self, v: np.ndarray, k: int, live) -> list[tuple[float, int]]:
+    def nearest(self, v: np.ndarray, k: int, least: float, live) -> list[tuple[float, int]]:
+        """The k live ones with the highest similarity, of those that reach ``least``; keys ascend, so equal ones come by key."""
         if not self.n:
             return []
         sims = self.rows[: self.n] @ v.astype(np.float32)
+        at = np.flatnonzero(sims >= least)
         best: list[tuple[float, int]] = []
-        want = min(self.n, 2 * k + self.dead)
-        order = np.argpartition(-sims, want - 1)[:want] if want < self.n else np.arange(self.n)
-        for i in sorted(order.tolist(), key=lambda i: (-sims[i], self.keys[i])):
+        for i in at[np.argsort(-sims[at], kind="stable")].tolist():
             if live(self.keys[i]):
                 best.append((float(sims[i]), self.keys[i]))
                 if len(best) == k:
@@ -152,7 +152,9 @@ class Copies:
 
     @staticmethod
     def bands(sig: np.ndarray) -> list[tuple[int, bytes]]:
-        return [(i, part.tobytes()) for i, part in enumerate(np.split(sig, minhash.BANDS))]
+        raw = sig.tobytes()
+        n = len(raw) // minhash.BANDS
+        return [(i, raw[i * n : i * n + n]) for i in range(minhash.BANDS)]
 
     def add(self, key: int, sig: np.ndarray) -> None:
         self.signature[key] = sig
@@ -279,11 +281,10 @@ class StoryEngine:
         """The story that the neighbours vote for and that admits the vector: none or one (vote sum, story)."""
         total: dict[int, float] = {}
         count: Counter = Counter()
-        for sim, key in self.vectors.nearest(v, self.c.k, self.articles.__contains__):
-            if sim >= self.c.neighbor:
-                s = self.articles[key].story
-                total[s] = total.get(s, 0.0) + sim
-                count[s] += 1
+        for sim, key in self.vectors.nearest(v, self.c.k, self.c.neighbor, self.articles.__contains__):
+            s = self.articles[key].story
+            total[s] = total.get(s, 0.0) + sim
+            count[s] += 1
         for s in sorted(total, key=lambda s: (-total[s], s)):
             story = self.stories[s]
             if len(story.originals) >= self.c.established and count[s] < self.c.established_votes:
@@ -340,7 +341,7 @@ class StoryEngine:
         head = self.articles[s.headline]
         self._emit(
             "updated", s.id, headline=head.title, headline_article_id=head.id, article_count=len(s.members), source_count=len(s.sources), langs=sorted(s.langs),
-            centroid=[round(float(x), 6) for x in s.centroid()],
+            centroid=np.round(s.centroid(), 6).tolist(),
         )
 
     # Time.

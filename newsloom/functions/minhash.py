@@ -60,6 +60,5 @@ def sketch(text: str, size: int = 5) -> np.ndarray | None:
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
-    x = h[:, None] * _A + _B
-    x ^= x >> np.uint64(32)
-    return (x * np.uint64(0xC4CEB9FE1A85EC53)).min(axis=0)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return (h[:, None] * _A + _B).min(axis=0)

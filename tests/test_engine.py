@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from newsloom.engine.core import CREATED, EXACT_DUP, INVALID, JOINED, LATE_DROPPED, NEAR_DUP, Config, StoryEngine
+from newsloom.functions import minhash
 from newsloom.operators import briefing, readmodel
 from newsloom.sources import synth
 
@@ -162,6 +163,17 @@ def test_replay_is_identical_and_a_perturbed_one_is_not(spark):
     assert not other.identical
 
 
+def test_sketches_estimate_the_share_of_shingles():
+    rng = np.random.default_rng(1)
+    base = "".join(rng.choice(list("abcdefgh "), 400))
+    for n in (0, 20, 60, 150):
+        other = base[:-n] + "".join(rng.choice(list("ijklmn"), n)) if n else base
+        a, b = ({minhash.normalize(t)[i : i + 5] for i in range(len(minhash.normalize(t)) - 4)} for t in (base, other))
+        got = float((minhash.sketch(base) == minhash.sketch(other)).mean())
+        assert abs(got - len(a & b) / len(a | b)) < 0.12
+    assert minhash.sketch(" .!") is None and minhash.sketch("ab") is not None
+
+
 def test_briefing_parts():
     assert briefing.fit("One. Two three four five six", 12) == "One."
     assert briefing.fit("word " * 10, 12).endswith("…")
