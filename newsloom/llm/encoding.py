@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from newsloom.llm import bpe
+from newsloom.session import spread
 
 #: Characters that a worker encodes at a time.
 CHARS = 1_000_000
@@ -31,4 +32,4 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), ids], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

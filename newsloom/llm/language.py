@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import spread
+
 ORDER = 5
 #: Labelled sentences that the models are trained on at most; beyond that those with the lowest hash are taken.
 MAX_SAMPLES = 20_000
@@ -254,7 +256,7 @@ def identify(rows: DataFrame, samples: DataFrame, training: DataFrame | None = N
                 names=[key, "main", "langs", "segments"],
             )
 
-    return rows.select(key, title, summary).mapInArrow(run, f"`{key}` {kind}, main string, langs array<string>, segments {SEGMENT}")
+    return spread(rows.select(key, title, summary)).mapInArrow(run, f"`{key}` {kind}, main string, langs array<string>, segments {SEGMENT}")
 
 
 def mislabelled(rows: DataFrame, samples: DataFrame, key: str = "raw_offset", lang: str = "lang") -> DataFrame:

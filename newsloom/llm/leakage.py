@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
+from newsloom.session import spread
+
 #: Words of an item in a row that count as leaked.
 WORDS = 12
 #: Bytes of item text that one automaton may hold; more items make more automata, each passed over the corpus.
@@ -134,7 +136,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = WORDS, key: str = "doc
     for b in range(blocks):
         rows = numbered.where((F.col("b") == b) & F.col("t").isNotNull() & F.col("k").isNotNull()).collect()
         shipped = spark.sparkContext.broadcast([(r.k, ws) for r in rows if len(ws := words(r.t)) >= least])
-        part = docs.select(key, text).mapInArrow(_scanner(shipped, least, key, item_key, items.schema[item_key].dataType), f"`{key}` {kind}, `{item_key}` {item_kind}, longest int, covered int, words int")
+        part = spread(docs.select(key, text)).mapInArrow(_scanner(shipped, least, key, item_key, items.schema[item_key].dataType), f"`{key}` {kind}, `{item_key}` {item_kind}, longest int, covered int, words int")
         out = part if out is None else out.unionByName(part)
     return out
 

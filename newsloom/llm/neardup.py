@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.session import Stages
+from newsloom.session import Stages, spread
 
 GRAM, THRESHOLD = 5, 0.8
 ROWS, BANDS = 8, 44
@@ -258,7 +258,7 @@ def similar_texts(texts: DataFrame, stages: Stages, threshold: float = THRESHOLD
         sizes = texts.groupBy(F.when(n < 64, n).otherwise(F.floor(F.exp(F.floor(F.log(n) * 40) / 40))).cast("long").alias("n")).count()
         sample = [r[0] for r in texts.where(F.length("text") >= GRAM).orderBy(F.xxhash64("text")).limit(COST_SAMPLE).select("text").collect()]
         bounds = heavy_sizes([(r[0], r[1]) for r in sizes.where("n > 0").collect()], _meeting(sample), threshold)
-    keys = texts.select("tid", "text").mapInArrow(_keys_of(*bounds, threshold), "key long, who long")
+    keys = spread(texts.select("tid", "text")).mapInArrow(_keys_of(*bounds, threshold), "key long, who long")
     sized = lambda c: F.col(c).bitwiseAND(2**_SIZE_BITS - 1)
     top = 2**_SIZE_BITS - 1
     units = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_units, "a array<long>, b array<long>")
@@ -296,7 +296,7 @@ def near_duplicates(rows: DataFrame, members: DataFrame, text: Column | None = N
     part, nor does a null key; copies meet in one ``tid`` and are not paired.
     """
     stages = Stages(rows.sparkSession, "neardup")
-    t = rows.select((article_text() if text is None else text).alias("t")).select(normal(F.col("t")).alias("text")).where(F.length("text") >= GRAM)
+    t = spread(rows.select((article_text() if text is None else text).alias("t"))).select(normal(F.col("t")).alias("text")).where(F.length("text") >= GRAM)
     one = stages.write(t.groupBy(F.unhex(F.md5("text")).alias("digest")).agg(F.first("text").alias("text")).withColumn("tid", F.monotonically_increasing_id()), "texts")
     who = stages.write(members.where("key IS NOT NULL").join(one.select("digest", "tid"), "digest").select("key", "tid"), "members")
     stages.sweep()

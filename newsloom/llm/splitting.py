@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import bpe
 from newsloom.llm.encoding import CHARS
+from newsloom.session import spread
 
 LIMIT, OVERLAP = 512, 64
 #: Kinds of boundary, strongest first: paragraph, sentence or line, word; within a word; within a character.
@@ -144,7 +145,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    t = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, __text string, __skeleton string, __ends array<int>")
+    t = spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, __text string, __skeleton string, __ends array<int>")
     t = t.withColumn("__cut", F.regexp_extract_all("__skeleton", F.lit(pattern(limit, overlap)), F.lit(0)))
     # Where each piece's new part ends, in tokens.
     stops = F.aggregate("__cut", F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(c))))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.session import Stages
+from newsloom.session import Stages, spread
 
 #: Share of terminal occurrences below which a final trigram means a cut, and occurrences inside that it takes.
 TERMINAL_SHARE, LEAST_INSIDE = 0.06, 3
@@ -71,7 +71,7 @@ def masked(x: Column) -> Column:
 def values(rows: DataFrame, key: str = "raw_offset", source: str = "source_id", fields: tuple[str, ...] = ("title", "summary")) -> DataFrame:
     """One row per non-empty value: key, source, field, text."""
     arr = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    v = rows.select(F.col(key).alias("key"), F.col(source).alias("source"), F.inline(arr))
+    v = spread(rows.select(key, source, *fields)).select(F.col(key).alias("key"), F.col(source).alias("source"), F.inline(arr))
     return v.where(F.col("text").isNotNull() & (F.trim("text") != ""))
 
 
