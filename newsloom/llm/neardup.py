@@ -12,7 +12,7 @@ once. Between different texts two kinds of keys bring candidates together:
 Which sizes are heavy is decided by cost: what the lists of a size would hold
 against the keys that its subsets take. Every candidate is then held against
 both texts. Lists lose nothing; a pair of light sets at exactly the bound
-misses all subsets with a chance of (1 - 0.8 ** ROWS) ** BANDS = 3e-4, at 0.85
+misses all subsets with a chance of (1 - 0.8 ** ROWS) ** BANDS = 1.5e-4, at 0.85
 of 1e-6.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from newsloom.session import Stages, spread
 
 GRAM, THRESHOLD = 5, 0.8
-ROWS, BANDS = 8, 44
+ROWS, BANDS = 8, 48
 #: Members of a key's group that are paired at a time; a larger group is handed out as pairs of such blocks.
 BLOCK = 256
 #: Texts that the cost of lists is estimated from.
