@@ -178,6 +178,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for g in groups:
+            if len(g) > BLOCK:
+                # Rows come sorted by key alone; ascending members stand in every pair of blocks as a < b.
+                g = np.sort(g)
             cuts = [g[i : i + BLOCK] for i in range(0, len(g), BLOCK)]
             for i, x in enumerate(cuts):
                 for y in cuts[i:]:

@@ -185,6 +185,17 @@ def test_hot_keys_are_handed_out_in_blocks():
     assert len({(x, y) for a, b in units for x in a for y in b if x < y}) == 1000 * 999 // 2
 
 
+def test_hot_keys_keep_every_pair_in_any_order():
+    import pyarrow as pa
+
+    who = np.random.default_rng(8).permutation(1000)
+    key = np.repeat([3, 5], [300, 700])
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 250]), pa.array(who[i : i + 250])], names=["key", "who"]) for i in range(0, 1000, 250)]
+    units = [(a, b) for r in neardup._units(iter(batches)) for a, b in zip(*[c.to_pylist() for c in r.columns])]
+    want = {(min(x, y), max(x, y)) for g in (who[:300].tolist(), who[300:].tolist()) for x in g for y in g if x != y}
+    assert {(x, y) for a, b in units for x in a for y in b if x < y} == want
+
+
 # Tokens.
 
 
