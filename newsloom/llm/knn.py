@@ -28,8 +28,8 @@ KEEP = 10
 TABLES, BLOCK = 4, 8_192
 #: Candidates that a node measures in a round, rounds at most, and the share of new edges at which they end.
 TRIES, ROUNDS, SETTLED = 4, 3, 0.01
-#: Vectors whose mean the hyperplanes pass through.
-CENTRE_SAMPLE = 4_096
+#: Vectors whose mean the hyperplanes pass through, and vectors a part that the cuts of an oversized block are drawn from.
+CENTRE_SAMPLE, CUT_SAMPLE = 4_096, 128
 #: Digits to which cosines count as equal.
 DIGITS = 6
 
@@ -67,17 +67,61 @@ def _planes(tables: int, bits: int, size: int) -> np.ndarray:
     return np.random.default_rng(97).standard_normal((tables, bits, size))
 
 
-def with_code(nodes: DataFrame, centre: np.ndarray, tables: int, table: int, bits: int, size: int) -> DataFrame:
-    """Adds ``code``: the sides of one table's hyperplanes that the vector lies on, as a number."""
+def _directions(table: int, levels: int, size: int) -> np.ndarray:
+    """One direction a level, others in each table, along which oversized blocks are cut."""
+    return np.random.default_rng([131, table]).standard_normal((levels, size))
+
+
+def _levels(count: int, block: int) -> int:
+    return max(1, math.ceil(math.log2(count / block)))
+
+
+def _walk(x: np.ndarray, cuts: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """The part of each vector: ``cuts`` are a binary tree's thresholds, a level's nodes after those above."""
+    levels = (len(cuts) + 1).bit_length() - 1
+    at = np.zeros(len(x), np.int64)
+    for d in directions[:levels]:
+        at = 2 * at + 1 + (x @ d > cuts[at])
+    return at - len(cuts)
+
+
+def _cuts_of(table: int, size: int):
+    """From a sample of an oversized block: thresholds that halve it level by level."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        x, levels = _matrix(t.column("vec"), size), t.column("levels")[0].as_py()
+        cuts, at = np.zeros(2**levels - 1), np.zeros(len(x), np.int64)
+        for d in _directions(table, levels, size):
+            y = x @ d
+            for node in np.unique(at).tolist():
+                cuts[node] = np.median(y[at == node])
+            at = 2 * at + 1 + (y > cuts[at])
+        return pa.table({"code": t.column("code")[:1], "grp": t.column("grp")[:1], "cuts": pa.array([cuts.tolist()])})
+
+    return run
+
+
+def with_code(nodes: DataFrame, centre: np.ndarray, tables: int, table: int, bits: int, size: int, cuts: dict[tuple, np.ndarray] | None = None) -> DataFrame:
+    """Adds ``code``: the sides of one table's hyperplanes that the vector lies on, as a number; and ``part`` of a block that has ``cuts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = _planes(tables, bits, size)[table]
+        directions = _directions(table, max((len(c).bit_length() for c in (cuts or {}).values()), default=0), size)
         for b in batches:
-            x = _matrix(b.column(2), size) - centre
-            code = ((x @ planes.T > 0) @ (1 << np.arange(bits))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code)], names=["nid", "grp", "vec", "code"])
+            v = _matrix(b.column(2), size)
+            code = ((v - centre) @ planes.T > 0) @ (1 << np.arange(bits))
+            part = np.zeros(len(v), np.int64)
+            if cuts:
+                rows: dict[tuple, list[int]] = {}
+                for i, k in enumerate(zip(code.tolist(), b.column(1).to_pylist())):
+                    if k in cuts:
+                        rows.setdefault(k, []).append(i)
+                for k, at in rows.items():
+                    part[at] = _walk(v[at], cuts[k], directions)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code.astype(np.int64)), pa.array(part)], names=["nid", "grp", "vec", "code", "part"])
 
-    return nodes.select("nid", "grp", "vec").mapInArrow(run, "nid long, grp string, vec binary, code long")
+    return nodes.select("nid", "grp", "vec").mapInArrow(run, "nid long, grp string, vec binary, code long, part long")
 
 
 def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +147,10 @@ def _within_block(size: int, least: float, keep: int):
             own = rows[i : i + 1_024]
             g = x[own] @ y
             r, c = np.nonzero(g >= least)
+            if len(r) > 16 * (keep + 1) * len(own) and g.shape[1] > keep + 1:
+                # In a dense block few of the rest can be among the best; equal ones after rounding stay.
+                kth = np.partition(g, -keep - 1, axis=1)[:, -keep - 1]
+                r, c = np.nonzero(g >= np.maximum(kth - 10.0**-DIGITS, least)[:, None])
             s = np.round(g[r, c].astype(np.float64), DIGITS)
             other = own[r] != cols[c]
             u, v, s = _best(ids[own[r[other]]], ids[cols[c[other]]], s[other], keep)
@@ -161,19 +209,28 @@ class Graph:
         self.centre = np.mean([np.frombuffer(r[0], np.float32) for r in drawn], axis=0) if drawn else np.zeros(size)
         self.edges = self._descend(self._start(), rounds)
 
+    def _cuts(self, t: DataFrame, table: int) -> dict[tuple, np.ndarray]:
+        """Per block of too many vectors: where directions of this table's own cut it at medians, so that near ones stay
+        together and other tables part it elsewhere."""
+        sizes = t.groupBy("code", "grp").count().where(F.col("count") > 2 * self.block).collect()
+        if not sizes:
+            return {}
+        large = self.spark.createDataFrame(
+            [(r["code"], r["grp"], _levels(r["count"], self.block), CUT_SAMPLE * 2 ** _levels(r["count"], self.block) / r["count"]) for r in sizes], "c long, g string, levels int, share double"
+        )
+        t = t.join(F.broadcast(large), (F.col("code") == F.col("c")) & F.col("grp").eqNullSafe(F.col("g")))
+        drawn = t.where(F.pmod(F.xxhash64("nid"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("code", "grp", "levels", "vec")
+        found = drawn.groupBy("code", "grp").applyInArrow(_cuts_of(table, self.size), "code long, grp string, cuts array<double>").collect()
+        return {(r["code"], r["grp"]): np.array(r["cuts"]) for r in found}
+
     def _block(self, table: int, asking: DataFrame | None) -> DataFrame:
         """(u, v, s) within the blocks of one table; with ``asking`` only its vectors ask, and the nodes answer."""
-        code = lambda df: with_code(df, self.centre, self.tables, table, self.bits, self.size)
-        t = code(self.nodes)
-        # A block of too many vectors is dealt out by hash; what that parts, later rounds join.
-        large = t.groupBy("code", "grp").count().where(F.col("count") > 2 * self.block)
-        large = large.select(F.col("code").alias("c"), F.col("grp").alias("g"), F.ceil(F.col("count") / (2 * self.block)).alias("parts"))
-        t = t.select("*", F.lit(asking is None).alias("asks"), F.lit(True).alias("answers"))
+        code = lambda df, cuts=None: with_code(df, self.centre, self.tables, table, self.bits, self.size, cuts)
+        cuts = self._cuts(code(self.nodes), table)
+        t = code(self.nodes, cuts).select("*", F.lit(asking is None).alias("asks"), F.lit(True).alias("answers"))
         if asking is not None:
-            t = t.unionByName(code(asking).select("*", F.lit(True).alias("asks"), F.lit(False).alias("answers")))
-        t = t.join(large, (F.col("code") == F.col("c")) & F.col("grp").eqNullSafe(F.col("g")), "left")
-        part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("nid"), F.col("parts")))
-        t = t.select("nid", "vec", "asks", "answers", "code", "grp", part.alias("part"))
+            t = t.unionByName(code(asking, cuts).select("*", F.lit(True).alias("asks"), F.lit(False).alias("answers")))
+        t = t.select("nid", "vec", "asks", "answers", "code", "grp", "part")
         return t.groupBy("code", "grp", "part").applyInArrow(_within_block(self.size, self.least, KEEP), "u long, v long, s double")
 
     def _blocks(self, name: str, asking: DataFrame | None = None) -> DataFrame:

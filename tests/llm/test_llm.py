@@ -139,6 +139,36 @@ def test_neighbours(spark):
     assert empty.neighbours().count() == 0
 
 
+def test_neighbours_within_an_oversized_block(spark):
+    rng = np.random.default_rng(5)
+    centre = 4 * rng.standard_normal(8)
+    hot = centre + 0.4 * rng.standard_normal((1000, 8))
+    x = np.concatenate([hot, rng.standard_normal((2000, 8))]).astype(np.float32)
+    vecs = dict(enumerate(x))
+    df = spark.createDataFrame([(i, [float(y) for y in v], None) for i, v in vecs.items()], "o long, v array<float>, g string")
+    g = knn.Graph(df, "o", "v", "g", 8, block=64)
+    want = exact({i: v for i, v in vecs.items() if i < 1000})
+    got = {tuple(r) for r in knn.pairs(g.neighbours()).collect()}
+    assert len(got & want) > 0.9 * len(want)
+    found = {r.key for r in g.search(df.where("o < 1000"), "o", "v", "g").where("key = neighbour").collect()}
+    assert len(found) == 1000
+
+
+def test_best_of_a_dense_block():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal(16) * 4 + 0.3 * rng.standard_normal((600, 16))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[300:310] = x[300]
+    yes = pa.array([True] * 600)
+    t = pa.table({"nid": np.arange(600)[::-1].copy(), "vec": pa.array([r.tobytes() for r in x], pa.binary()), "asks": yes, "answers": yes})
+    got = knn._within_block(16, knn.LEAST, 5)(t)
+    s = np.round((x @ x.T).astype(np.float64), knn.DIGITS)
+    want = {(599 - i, 599 - j) for i in range(600) for j in sorted((j for j in range(600) if j != i), key=lambda j: (-s[i, j], -j))[:5]}
+    assert len(set(zip(got["u"].to_pylist(), got["v"].to_pylist())) & want) >= 0.999 * len(want) and len(got) == 3000
+
+
 # Near-duplicates.
 
 
