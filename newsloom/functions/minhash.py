@@ -50,9 +50,12 @@ def normalize(text: str) -> str:
 def sketch(text: str, size: int = 5) -> np.ndarray | None:
     """Signature of a text's 5-character shingles; null without any. Plays the part of the table form with other hashes."""
     t = normalize(text)
-    if not t:
-        return None
-    cps = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return sketch_of(t, size) if t else None
+
+
+def sketch_of(t: str, size: int = 5) -> np.ndarray:
+    """The same of a normal text that is not empty."""
+    cps = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = max(1, len(cps) - size + 1)
     h = np.zeros(n, np.uint64)
     for k in range(min(size, len(cps))):
@@ -61,4 +64,18 @@ def sketch(text: str, size: int = 5) -> np.ndarray | None:
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return (h[:, None] * _A + _B).min(axis=0)
+    # Some hundred shingles at a time, so that a long text takes no more memory than a short one.
+    h, low = np.unique(h), np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
+    for i in range(0, len(h), 512):
+        np.minimum(low, (h[i : i + 512, None] * _A + _B).min(axis=0), out=low)
+    return low
+
+
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """One number per band of each signature (rows of PERMUTATIONS values)."""
+    rows = sigs.reshape(len(sigs), BANDS, -1)
+    key = np.zeros(rows.shape[:2], np.uint64)
+    for r in range(rows.shape[2]):
+        key = (key ^ rows[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key

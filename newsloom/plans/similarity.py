@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import minhash as mh
 from newsloom.functions import text as tx
 from newsloom.operators import vectors as vx
-from newsloom.session import table
+from newsloom.session import Stages, spread, table
 
 K, PERMS, ROWS = 10, 16, 4
+#: Estimate from which a document is a near-duplicate of an earlier one.
+NEAR_DUPLICATE = 0.8
 
 
 def _vecs(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +139,84 @@ def near_duplicate_best(spark: SparkSession, d: str) -> DataFrame:
     return lsh_candidates(spark, d).groupBy(F.col("b").alias("item_id")).agg(F.max_by(F.struct("a", "estimate"), F.struct("estimate", -F.col("a"))).alias("m")).select("item_id", F.col("m.a").alias("original"), "m.estimate")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))).select("doc_id", tx.shingle_text(F.col("t")).alias("t"))
+
+
+def document_shingle_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Different shingles of every document, texts whole; a text of fewer characters than a shingle is one, an empty one none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len({t[i : i + 5] for i in range(max(1, len(t) - 4))}) if t else 0 for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["doc_id", "n"])
+
+    return _documents(spark, d).mapInArrow(run, "doc_id long, n int")
+
+
+def _document_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, signature as bytes, keys of its bands; documents without a shingle are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1_000):
+                b = batch.slice(i, 1_000)
+                sigs = np.stack([mh.sketch_of(t) for t in b.column(1).to_pylist()])
+                keys = mh.band_keys(sigs).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1) * mh.BANDS, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sigs], pa.binary()), lists], names=["doc_id", "sig", "keys"])
+
+    return _documents(spark, d).where("doc_id IS NOT NULL AND t <> ''").mapInArrow(run, "doc_id long, sig binary, keys array<long>")
+
+
+def document_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures of the whole documents: mh.PERMUTATIONS values of 64 bits, as hexadecimal bytes."""
+    return _document_signatures(spark, d).select("doc_id", F.lower(F.hex("sig")).alias("sig"))
+
+
+def _document_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): doc_id and head, the lowest document of the same signature; and (a, b, estimate) of different heads that share a band, a < b."""
+    stages = Stages(spark, "documents")
+    s = stages.write(_document_signatures(spark, d), "signatures")
+    w = Window.partitionBy("digest").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    members = stages.write(s.select("doc_id", F.unhex(F.md5("sig")).alias("digest")).select("doc_id", F.min("doc_id").over(w).alias("head")).distinct(), "members")
+    heads = s.join(members.where("doc_id = head").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    b = heads.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    b = stages.write(b.join(b.groupBy("band", "key").count().where("count > 1").select("band", "key"), ["band", "key"], "left_semi"), "bands")
+    p = b.alias("x").join(b.alias("y"), ["band", "key"]).where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    p = stages.write(p, "pairs")
+    stages.sweep()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint64).reshape(-1, mh.PERMUTATIONS) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array((x == y).mean(axis=1))], names=["a", "b", "estimate"])
+
+    one = heads.select("doc_id", "sig")
+    j = p.join(one.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+    return members, j.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, estimate double")
+
+
+def document_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of documents that share a band, with the estimate of their similarity."""
+    m, p = _document_pairs(spark, d)
+    x, y = m.select(F.col("head").alias("a"), F.col("doc_id").alias("da")), m.select(F.col("head").alias("b"), F.col("doc_id").alias("db"))
+    same = x.join(y, F.col("a") == F.col("b")).where("da < db").select("da", "db", F.lit(1.0).alias("estimate"))
+    both = same.unionByName(p.join(x, "a").join(y, "b").select("da", "db", "estimate"))
+    return both.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), "estimate")
+
+
+def document_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's most alike earlier one whose estimate reaches NEAR_DUPLICATE, lowest first among equals.
+
+    A copy's is the head of its signature, for no other reaches 1; a head's is the best of earlier heads.
+    """
+    m, p = _document_pairs(spark, d)
+    best = p.where(F.col("estimate") >= NEAR_DUPLICATE).groupBy(F.col("b").alias("doc_id")).agg(F.max_by(F.struct("a", "estimate"), F.struct("estimate", -F.col("a"))).alias("m"))
+    copies = m.where("doc_id <> head").select("doc_id", F.col("head").alias("original"), F.lit(1.0).alias("estimate"))
+    return copies.unionByName(best.select("doc_id", F.col("m.a").alias("original"), "m.estimate"))
+
+
 def word_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "articles_raw").where("title IS NOT NULL").select("raw_offset", F.explode(tx.title_words(tx.shingle_text(F.col("title")))).alias("word"))
     n = w.groupBy("word").agg(F.count("*").alias("df"))
@@ -150,6 +234,7 @@ QUERIES = {
     for f in (
         lang_means, lang_centering, knn_topk, knn_earlier, knn_votes, semantic_search, centroids, story_cohesion, medoids, merge_candidates, similarity_graph,
         similarity_quantiles, recall_at_k, shingle_counts, minhash_signatures, lsh_candidates, near_duplicate_best, word_document_frequency, exact_duplicates,
+        document_shingle_counts, document_signatures, document_candidates, document_near_duplicates,
     )
 }
 
