@@ -10,6 +10,8 @@ from newsloom.functions import urls
 from newsloom.operators import delivery, lateness
 from newsloom.session import table
 
+#: Characters of a summary that are kept, as the reference does. SUMMARY_CHARS is what the SQL below was given and still cuts at.
+SUMMARY_LIMIT = 600
 SUMMARY_CHARS, MAX_AGE_MS, SAMPLE = 160, 72 * 3_600_000, 0.25
 LANGS = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru")
 
@@ -28,14 +30,14 @@ def html_clean_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def truncated_summaries(spark: SparkSession, d: str) -> DataFrame:
-    return _raw(spark, d).select("raw_offset", tx.truncate(tx.squeeze(F.col("summary")), SUMMARY_CHARS).alias("summary"))
+    return _raw(spark, d).select("raw_offset", tx.truncate(tx.squeeze(F.col("summary")), SUMMARY_LIMIT).alias("summary"))
 
 
 def _normalized(spark: SparkSession, d: str) -> DataFrame:
     """All articles with cleaned texts, corrected event time, language and the reason for a rejection."""
     r = _raw(spark, d)
     sources = table(spark, d, "feed_sources").select(F.col("source_id").alias("sid"), F.col("lang").alias("configured"))
-    t = r.withColumn("url", urls.canonical(F.col("url"))).withColumn("title", tx.clean_html(F.col("title"))).withColumn("summary", tx.truncate(tx.clean_html(F.coalesce("summary", F.lit(""))), SUMMARY_CHARS))
+    t = r.withColumn("url", urls.canonical(F.col("url"))).withColumn("title", tx.clean_html(F.col("title"))).withColumn("summary", tx.truncate(tx.clean_html(F.coalesce("summary", F.lit(""))), SUMMARY_LIMIT))
     t = t.withColumn("summary", F.when(F.col("summary") == F.col("title"), "").otherwise(F.col("summary"))).withColumn("event_ms", lateness.event_time())
     t = t.join(sources, F.split_part("source_id", F.lit(":"), F.lit(1)) == F.col("sid"), "left")
     hint = tx.language_code(F.col("lang"))
