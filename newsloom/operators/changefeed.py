@@ -64,15 +64,34 @@ def fold(events: DataFrame) -> DataFrame:
     update after that creation was without effect, and none before counts
     more. Events without a story change nothing.
     """
-    s = events.where(F.col("kind").isin(*KINDS) & F.col("story_id").isNotNull()).groupBy("story_id").agg(*[_last(k) for k in KINDS])
+    return standing(maxima(events))
+
+
+def maxima(events: DataFrame) -> DataFrame:
+    """The last event of each kind of each story."""
+    return events.where(F.col("kind").isin(*KINDS) & F.col("story_id").isNotNull()).groupBy("story_id").agg(*[_last(k) for k in KINDS])
+
+
+def standing(s: DataFrame) -> DataFrame:
     s = s.where("created IS NOT NULL AND (closed IS NULL OR created > closed)").withColumn("at", F.greatest("created", "updated"))
     return s.select("story_id", "at.input_offset", "at.seq")
 
 
-def replay(feed: DataFrame, flush: bool = True) -> DataFrame:
-    """The stories standing at the feed's end, or, without ``flush``, at the committed watermark."""
+def split(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(committed, held): the different events up to the committed watermark, and those that a gap holds back."""
     events = distinct_events(feed)
-    if flush:
-        return fold(events)
-    mark = committed_watermark(transactions(events)).select("watermark")
-    return fold(events.join(F.broadcast(mark), F.col("input_offset") <= F.col("watermark"), "left_semi"))
+    mark = F.broadcast(committed_watermark(transactions(events)).select("watermark"))
+    judged = events.join(mark, F.col("input_offset") <= F.col("watermark"), "left")
+    return judged.where("watermark IS NOT NULL").drop("watermark"), judged.where("watermark IS NULL").drop("watermark")
+
+
+def replay(feed: DataFrame, flush: bool = True) -> DataFrame:
+    """The stories standing at the feed's end, or, without ``flush``, at the committed watermark.
+
+    At the end the held part is released: its maxima merge with those of the committed part.
+    """
+    committed, held = split(feed)
+    if not flush:
+        return fold(committed)
+    both = maxima(committed).unionByName(maxima(held))
+    return standing(both.groupBy("story_id").agg(*[F.max(k).alias(k) for k in KINDS]))

@@ -44,6 +44,16 @@ def test_gap_holds_what_follows_until_the_feed_ends(spark):
     assert (whole.first_gap, whole.watermark) == (None, 2)
 
 
+def test_replay_releases_what_the_gap_held(spark):
+    ev = [(0, 0, 0, "created", "a", ""), (1, 1, 0, "created", "b", ""), (2, 1, 2, "updated", "b", ""), (3, 2, 0, "closed", "a", ""), (4, 0, 1, "created", "c", ""), (5, 3, 0, "updated", "c", "")]
+    df = spark.createDataFrame(ev, FEED)
+    committed, held = changefeed.split(df)
+    assert {(r.input_offset, r.seq) for r in committed.collect()} == {(0, 0), (0, 1)} and {(r.input_offset, r.seq) for r in held.collect()} == {(1, 0), (1, 2), (2, 0), (3, 0)}
+    assert {tuple(r) for r in changefeed.replay(df).collect()} == stand(ev)
+    committed, held = changefeed.split(df.where("input_offset = 1"))
+    assert committed.count() == 0 and held.count() == 2
+
+
 def test_empty_feed(spark):
     df = spark.createDataFrame([], FEED)
     assert changefeed.replay(df).count() == 0 and changefeed.replay(df, flush=False).count() == 0
