@@ -41,6 +41,23 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_DROP.sub("", unicodedata.normalize("NFKD", text)).lower())
 
 
+def placed_words(text: str | None) -> list[tuple[str, int, int]]:
+    """The same words with where each starts and stops in the text; marks and format characters after a word belong to it."""
+    if not text:
+        return []
+    if text.isascii():
+        return [(m[0], *m.span()) for m in _ASCII.finditer(text.lower())]
+    kept = [_DROP.sub("", unicodedata.normalize("NFKD", c)) for c in text]
+    origin = [i for i, x in enumerate(kept) for _ in x]
+    out = []
+    for m in _WORD.finditer("".join(kept).lower()):
+        stop = origin[m.end() - 1] + 1
+        while stop < len(text) and not kept[stop]:
+            stop += 1
+        out.append((m[0], origin[m.start()], stop))
+    return out
+
+
 class SuffixAutomaton:
     """Generalised over sequences of word numbers; each state knows its items.
 
@@ -127,15 +144,9 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = WORDS, key: str = "doc
     corpus block by block, so what is shipped to the workers is bounded.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.octet_length(item_text), F.lit(0))
-    total = items.agg(F.sum(size)).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    numbered = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t"), F.pmod(F.xxhash64(item_key), F.lit(blocks)).alias("b"))
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     out = None
-    for b in range(blocks):
-        rows = numbered.where((F.col("b") == b) & F.col("t").isNotNull() & F.col("k").isNotNull()).collect()
-        shipped = spark.sparkContext.broadcast([(r.k, ws) for r in rows if len(ws := words(r.t)) >= least])
+    for shipped in _shipments(spark, items, least, item_key, item_text, block_bytes):
         part = spread(docs.select(key, text)).mapInArrow(_scanner(shipped, least, key, item_key, items.schema[item_key].dataType), f"`{key}` {kind}, `{item_key}` {item_kind}, longest int, covered int, words int")
         out = part if out is None else out.unionByName(part)
     return out
@@ -144,6 +155,74 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = WORDS, key: str = "doc
 _AUTOMATA: dict[tuple, SuffixAutomaton] = {}
 
 
+def _shipments(spark, items: DataFrame, least: int, item_key: str, item_text: str, block_bytes: int) -> Iterator:
+    """The words of the items, as broadcasts of at most ``block_bytes`` of text."""
+    total = items.agg(F.sum(F.coalesce(F.octet_length(item_text), F.lit(0)))).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
+    numbered = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t"), F.pmod(F.xxhash64(item_key), F.lit(blocks)).alias("b"))
+    for b in range(blocks):
+        rows = numbered.where((F.col("b") == b) & F.col("t").isNotNull() & F.col("k").isNotNull()).collect()
+        yield spark.sparkContext.broadcast([(r.k, ws) for r in rows if len(ws := words(r.t)) >= least])
+
+
+def without_spans(docs: DataFrame, items: DataFrame, least: int = WORDS, longest: int = 50, coverage: float = 0.2, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``key``, ``text``, ``removed`` (words): documents without the leaked spans that exceed the limits.
+
+    A span is a stretch of words under shared runs that touch. It goes if a run
+    in it has more than ``longest`` words, and every span goes where they cover
+    more than ``coverage`` of the document's words. All rows stay.
+    """
+    t = spread(docs.select(key, text)).withColumn("runs", F.array().cast("array<int>"))
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{text}` string, runs array<int>"
+    for shipped in _shipments(docs.sparkSession, items, least, item_key, item_text, block_bytes):
+        t = t.mapInArrow(_runs(shipped, least, key, text), schema)
+    return t.mapInArrow(_remover(longest, coverage, key, text), f"`{key}` {docs.schema[key].dataType.simpleString()}, `{text}` string, removed int")
+
+
+def _runs(shipped, least: int, key: str, text: str):
+    """Adds the runs with one automaton's items: first and last word of each, longest of those that end at a word."""
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = (name, least)
+        if k not in _AUTOMATA:
+            _AUTOMATA.clear()
+            _AUTOMATA[k] = SuffixAutomaton([(i, ws) for i, (_, ws) in enumerate(shipped.value)], least)
+        auto = _AUTOMATA[k]
+        for b in batches:
+            runs = [(before or []) + [x for at, _, n in auto.scan(words(t)) for x in (at + 1 - n, at)] for t, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(runs, pa.list_(pa.int32()))], names=[key, text, "runs"])
+
+    return run
+
+
+def cut_spans(text: str, runs: list[int], longest: int, coverage: float) -> tuple[str, int]:
+    """The text without the spans that exceed the limits, and how many words went."""
+    spans: list[list[int]] = []
+    for a, z in sorted(zip(runs[::2], runs[1::2])):
+        if spans and a <= spans[-1][1] + 1:
+            spans[-1][1:] = max(spans[-1][1], z), max(spans[-1][2], z + 1 - a)
+        else:
+            spans.append([a, z, z + 1 - a])
+    placed = placed_words(text)
+    everything = sum(z + 1 - a for a, z, _ in spans) > coverage * len(placed)
+    gone = [(a, z) for a, z, n in spans if everything or n > longest]
+    kept, at = [], 0
+    for a, z in gone:
+        kept.append(text[at : placed[a][1]])
+        at = placed[z][2]
+    return "".join([*kept, text[at:]]), sum(z + 1 - a for a, z in gone)
+
+
+def _remover(longest: int, coverage: float, key: str, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [cut_spans(t, r, longest, coverage) if r else (t, 0) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int32())], names=[key, text, "removed"])
+
+    return run
+
+
 def _scanner(shipped, least: int, key: str, item_key: str, item_type: DataType):
     name, b_type = uuid.uuid4().hex, to_arrow_type(item_type)
 

@@ -83,11 +83,16 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("longest").alias("longest"))
 
 
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, without the leaked spans that exceed the limits of length and coverage."""
+    return leakage.without_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), folder=TOKENIZERS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_segments, p6_found, p6_search, p7_found, p7_groups, p8_ids, p9_found, p9_items, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sources, p2_found, p2_segments, p6_found, p6_search, p7_found, p7_groups, p8_ids, p9_found, p9_items, p9_cleaned, p10_pieces)}
 _NEAR = """v AS (
   SELECT input_offset o, model_version m, list_transform(vector, lambda x: x::DOUBLE) x FROM articles_embedded
   WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0),

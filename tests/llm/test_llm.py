@@ -311,6 +311,28 @@ def test_leaks(spark):
     assert left == {k for k, _ in docs} - {k for k, _ in want}
 
 
+def test_leaked_spans_are_removed(spark):
+    rng = random.Random(6)
+    w = lambda p, n: [f"{p}{i}" for i in rng.sample(range(10_000), n)]
+    long, short, other = w("l", 60), w("s", 15), w("o", 15)
+    free = w("f", 400)
+    join = lambda *parts: " ".join(x for p in parts for x in p)
+    docs = {
+        1: (join(free[:200], long, free[200:], short), join(free[:200], [""], free[200:], short), 60),  # the long run goes, the short one stays
+        2: (join(free[:20], short, free[20:40]), join(free[:20], [""], free[20:40]), 15),  # 15 of 55 words
+        3: (join(free[:200], short), join(free[:200], short), 0),
+        4: ("Été, " + ", ".join(x.upper() for x in short[:14]) + ", " + short[14] + "\u0301 — fin", "Été,  — fin", 15),
+        5: (join(short, other), "", 30), 6: (None, None, 0), 7: ("", "", 0),
+    }
+    d = spark.createDataFrame([(k, t) for k, (t, _, _) in docs.items()], "doc_id long, text string")
+    t = spark.createDataFrame([(1, join(long)), (2, join(short)), (3, join(other)), (4, None)], "item_id long, text string")
+    for block in (leakage.BLOCK_BYTES, 200):
+        got = {r.doc_id: (r.text, r.removed) for r in leakage.without_spans(d, t, block_bytes=block).collect()}
+        assert {k: (v and " ".join(v.split()), n) for k, (v, n) in got.items()} == {k: (v and " ".join(v.split()), n) for k, (_, v, n) in docs.items()}
+    for x in ("Ｔｈｅ ﬁrst café, co­op​erate—IT’S 4²!", "cafe\u0301 ΟΔΟΣ İx", "plain Text"):
+        assert [p[0] for p in leakage.placed_words(x)] == leakage.words(x)
+
+
 def test_words_of_altered_passages():
     assert leakage.words("Ｔｈｅ ﬁrst café, co­op​erate—IT’S 4²!") == ["the", "first", "cafe", "cooperate", "it", "s", "42"]
     assert leakage.words("café") == leakage.words("CAFÉ")
