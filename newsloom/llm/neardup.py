@@ -1,27 +1,38 @@
 """Near-duplicate texts: a size-aware heavy-light join on sets of 5-character substrings.
 
 Equal texts form one class first, so a text that many rows share is compared
-once. Between different texts two kinds of keys bring candidates together:
-
-* light sizes enumerate fixed-size subsets of their sets: BANDS subsets of
-  ROWS elements, drawn by minima of random hashes so that two sets draw the
-  same subset the likelier the more they share;
-* heavy sizes scan inverted lists: each set is put on the lists of its first
-  elements in one global order, as many as a similar set must meet one of.
-
-Which sizes are heavy is decided by cost: what the lists of a size would hold
-against the keys that its subsets take. Every candidate is then held against
-both texts. Lists lose nothing; a pair of light sets at exactly the bound
-misses all subsets with a chance of (1 - 0.8 ** ROWS) ** BANDS = 1.5e-4, at 0.85
-of 1e-6.
+once. Between different texts, keys bring candidates together, by size of set:
+
+* small sets enumerate every subset of two elements of a beginning of their
+  set, in one global order, that is long enough for two similar sets to share
+  two of its elements;
+* larger ones draw BANDS subsets of ROWS elements by minima of random hashes,
+  so that two sets draw the same subset the likelier the more they share: all
+  subsets would be too many;
+* large sets scan inverted lists: each stands on the lists of its first
+  elements, as many as a similar set must meet one of.
+
+The two boundaries are chosen by cost, and sets within reach of a boundary
+take the keys of both sides. Every candidate is then held against both texts.
+Enumerated subsets and lists lose nothing; a pair of drawn subsets at exactly
+the bound misses all of them with a chance of (1 - 0.8 ** ROWS) ** BANDS =
+1.5e-4, at 0.85 of 1e-6.
+
+Keys travel as blocks of numbers, many to a row, each to the bucket of its
+key. Keys that many of a bounded sample of texts share are hot: their groups
+are cut into cells, each a pair of parts of the group, which meet in buckets of
+their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +40,29 @@ from newsloom.session import Stages, spread
 
 GRAM, THRESHOLD = 5, 0.8
 ROWS, BANDS = 8, 48
-#: Members of a key's group that are paired at a time; a larger group is handed out as pairs of such blocks.
-BLOCK = 256
-#: Texts that the cost of lists is estimated from.
-COST_SAMPLE = 400
+#: Texts that the cost of lists is estimated from, and those that hot keys are looked for in with the times that make one.
+COST_SAMPLE, HOT_SAMPLE, HOT_TIMES = 400, 4_096, 4
+#: Members of a hot key that one cell is meant to hold, keys that a bucket is, and keys that a worker packs at a time.
+CELL, BUCKET, FLUSH = 4_096, 1_000_000, 1_000_000
 #: Characters that a worker hashes at a time.
 CHARS = 200_000
 #: Bits of the sketch that spares most false candidates the comparison of their sets.
 PARITY = 512
-_SIZE_BITS = 14
+#: Nanoseconds of a key on its way, of an element in one row of the drawn subsets, and of two keys that meet.
+KEY_NS, GRAM_NS, MEET_NS = 300, 15, 2
+#: Sizes and places above this count as this and are not held against each other.
+TOP = 65_535
 
+_OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 
-def normal(text: Column) -> Column:
+
+def plain(text: str) -> str:
     """Lower case, every run of other characters than letters and digits one space, ends trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return _OTHER.sub(" ", text.lower()).strip(" ")
 
 
-def article_text(title: str = "title", summary: str = "summary") -> Column:
-    t = F.coalesce(F.col(title), F.lit(""))
-    return F.when(F.coalesce(F.col(summary), F.lit("")) == "", t).otherwise(F.concat_ws("\n", t, F.col(summary)))
+def article(title: str | None, summary: str | None) -> str:
+    return f"{title or ''}\n{summary}" if summary else title or ""
 
 
 def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,39 +117,76 @@ def subset_keys(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, n
     return at // BANDS, key[at]
 
 
-def list_keys(owner: np.ndarray, h: np.ndarray, count: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of each set's first elements: hashes ascend within a text, which is the global order."""
-    start = np.cumsum(count) - count
-    rank = np.arange(len(h)) - start[owner]
+def _ranks(owner: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Place of each element in its set; hashes ascend within a text, which is the global order."""
+    return np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+
+
+def list_keys(owner: np.ndarray, h: np.ndarray, count: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, place) of each set's first elements."""
+    rank = _ranks(owner, count)
     take = rank < prefix(count, threshold)[owner]
-    return owner[take], h[take] * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0x5851F42D4C957F2D)
+    return owner[take], h[take] * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0x5851F42D4C957F2D), rank[take]
+
+
+def pair_keys(owner: np.ndarray, h: np.ndarray, count: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of every subset of two of each set's first elements, one more than the lists take; a set of one is its own subset."""
+    rank = _ranks(owner, count)
+    first = np.minimum(prefix(count, threshold) + 1, count)
+    take = rank < first[owner]
+    owner, h, rank = owner[take], h[take], rank[take]
+    who, keys = [owner[count[owner] == 1]], [h[count[owner] == 1] * np.uint64(0xA24BAED4963EE407)]
+    for d in range(1, int(first.max(initial=0))):
+        at = np.flatnonzero(owner[d:] == owner[: len(owner) - d]) if d < len(owner) else np.empty(0, np.int64)
+        if not len(at):
+            break
+        x = h[at] * np.uint64(0x9E3779B97F4A7C15) ^ h[at + d]
+        x ^= x >> np.uint64(29)
+        who.append(owner[at])
+        keys.append(x * np.uint64(0xBF58476D1CE4E5B9))
+    return np.concatenate(who), np.concatenate(keys)
 
 
 def prefix(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def heavy_sizes(sizes: list[tuple[int, int]], meet: float, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(lo, hi): sets of at most lo or at least hi elements go by lists, those between by subsets.
+def boundaries(sizes: list[tuple[int, int]], meet: float, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(lo, hi): sets of at most ``lo`` elements enumerate subsets, those of at least ``hi`` stand on lists, others draw subsets.
 
     ``sizes`` counts sets by size; ``meet`` is the share of an element's list
-    among all sets of like size. A size costs its keys and, for lists, what
-    stands on them. Both ends are extended as long as lists are cheaper.
+    among all sets of like size. Drawn subsets cost their keys and the hashes
+    of all elements; enumerated ones their keys; lists their keys and those
+    that they meet, the more the more sets are of like size. Sets that a
+    boundary puts on both sides count on both.
     """
+    none = 1 << 40
     if not sizes:
-        return 0, 1 << 40
-    x = np.array(sorted(sizes))
+        return 0, none
+    x = np.array(sorted(sizes), np.float64)
     size, n = x[:, 0], x[:, 1]
     total = np.concatenate([[0], np.cumsum(n)])
     near = total[np.searchsorted(size, size / threshold, "right")] - total[np.searchsorted(size, size * threshold, "left")]
     p = prefix(size, threshold)
-    cheaper = n * p * (1 + meet * near) < n * BANDS
-    lo = hi = 0
-    while lo < len(size) and cheaper[lo]:
-        lo += 1
-    while hi < len(size) - lo and cheaper[len(size) - 1 - hi]:
-        hi += 1
-    return (int(size[lo - 1]) if lo else 0), (int(size[len(size) - hi]) if hi else 1 << 40)
+    drawn = n * (BANDS * KEY_NS + size * ROWS * GRAM_NS)
+    first = np.minimum(p + 1, size)
+    listed, pairs = n * p * (KEY_NS + meet * near * MEET_NS / 2), n * np.maximum(first * (first - 1) / 2, 1) * KEY_NS
+
+    def least(gain: np.ndarray, both: np.ndarray) -> int:
+        """How many sizes from the start take the other way: what they save against what those in reach pay besides."""
+        saved = np.concatenate([[0.0], np.cumsum(gain)]) - both
+        return int(saved.argmax())
+
+    reach = np.searchsorted(size, size * threshold - 1e-9, "left")
+    tail = np.concatenate([[0], np.cumsum(listed)])
+    # From the large end: the first k sizes in descending order go by lists, those from threshold times the k-th on stand on lists as well.
+    both = np.array([0.0] + [tail[len(size) - k] - tail[reach[len(size) - k]] for k in range(1, len(size) + 1)])
+    k = least((drawn - listed)[::-1], both)
+    head = np.concatenate([[0], np.cumsum(pairs)])
+    up = np.searchsorted(size, size / threshold + 1e-9, "right")
+    both = np.array([0.0] + [head[up[i - 1]] - head[i] for i in range(1, len(size) + 1)])
+    i = min(least(drawn - pairs, both), len(size) - k)
+    return (int(size[i - 1]) if i else 0), (int(size[len(size) - k]) if k else none)
 
 
 def _blocks(texts: list[str]) -> Iterator[slice]:
@@ -148,76 +200,150 @@ def _blocks(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def _keys_of(lo: int, hi: int, threshold: float):
+def keys_of(texts: list[str], lo: int, hi: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, size, place) of the keys of some texts, those of a few at a time."""
+    n = len(texts)
+    owner, h = gram_hashes(texts)
+    owner, h, count = _distinct(owner, h, n)
+    parts = []
+    drawn = (count > lo) & (count < hi)
+    if drawn.any():
+        of = drawn[owner]
+        parts.append((*subset_keys(owner[of], h[of], n), None))
+    small = (count > 0) & (count * threshold <= lo)
+    if small.any():
+        of = small[owner]
+        parts.append((*pair_keys(owner[of], h[of], np.where(small, count, 0), threshold), None))
+    large = count >= hi * threshold
+    if large.any():
+        of = large[owner]
+        parts.append(list_keys(owner[of], h[of], np.where(large, count, 0), threshold))
+    if not parts:
+        none = np.empty(0, np.int64)
+        return none, none.astype(np.uint64), none, none
+    who = np.concatenate([x[0] for x in parts])
+    place = np.concatenate([np.zeros(len(x[0]), np.int64) if x[2] is None else x[2] for x in parts])
+    return who, np.concatenate([x[1] for x in parts]), count[who], place
+
+
+#: One key of a text as it travels.
+_KEY = np.dtype([("key", np.uint64), ("who", np.int64), ("size", np.uint16), ("place", np.uint16)])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xD6E8FEB86659FD93)
+
+
+def cells(k: np.ndarray, hot: dict[int, int]) -> np.ndarray:
+    """The keys, hot ones put into cells: a member goes to the cells of its part of the group with each part, itself included."""
+    if not hot or not len(k):
+        return k
+    keys = np.array(sorted(hot), np.uint64)
+    at = np.minimum(np.searchsorted(keys, k["key"]), len(keys) - 1)
+    is_hot = keys[at] == k["key"]
+    out = [k[~is_hot]]
+    for i in np.unique(at[is_hot]).tolist():
+        g, parts = k[is_hot & (at == i)], hot[int(keys[i])]
+        own = _mixed(g["who"].view(np.uint64)) % np.uint64(parts)
+        for other in range(parts):
+            cell = g.copy()
+            pair = np.minimum(own, np.uint64(other)) * np.uint64(parts) + np.maximum(own, np.uint64(other))
+            cell["key"] = _mixed(g["key"] ^ _mixed(pair + np.uint64(1)))
+            out.append(cell)
+    return np.concatenate(out)
+
+
+def _packed(lo: int, hi: int, threshold: float, buckets: int, hot: dict[int, int]):
+    def flush(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        k = cells(np.concatenate(waiting), hot)
+        # By the key's upper half: the sort within a bucket finds keys spread evenly.
+        bucket = ((k["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        k, bucket = k[order], bucket[order]
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        raw = [k[a:b].tobytes() for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(k)])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(raw, pa.binary())], names=["bucket", "keys"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        held = 0
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for s in _blocks(texts):
-                part, n = texts[s], s.stop - s.start
-                owner, h = gram_hashes(part)
-                owner, h, count = _distinct(owner, h, n)
-                keys = []
-                light = (count > lo) & (count < hi)
-                if light.any():
-                    keys.append(subset_keys(owner[light[owner]], h[light[owner]], n))
-                listed = (count > 0) & ((count * threshold <= lo) | (count >= hi * threshold))
-                if listed.any():
-                    keep = listed[owner]
-                    keys.append(list_keys(owner[keep], h[keep], np.where(listed, count, 0), threshold))
-                for who, key in keys:
-                    packed = ids[s][who] << _SIZE_BITS | np.minimum(count[who], 2**_SIZE_BITS - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(packed)], names=["key", "who"])
+                who, key, size, place = keys_of(texts[s], lo, hi, threshold)
+                k = np.empty(len(who), _KEY)
+                k["key"], k["who"], k["size"], k["place"] = key, ids[s][who], np.minimum(size, TOP), np.minimum(place, TOP)
+                waiting.append(k)
+                held += len(k)
+                if held >= FLUSH:
+                    yield flush(waiting)
+                    waiting, held = [], 0
+        if held:
+            yield flush(waiting)
 
     return run
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: groups of two or more, large ones as pairs of blocks. A group may span batches."""
-    kept_key, kept = None, np.empty(0, np.int64)
-
-    def out(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for g in groups:
-            if len(g) > BLOCK:
-                # Rows come sorted by key alone; ascending members stand in every pair of blocks as a < b.
-                g = np.sort(g)
-            cuts = [g[i : i + BLOCK] for i in range(0, len(g), BLOCK)]
-            for i, x in enumerate(cuts):
-                for y in cuts[i:]:
-                    a.append(x)
-                    b.append(y)
-                if len(a) > 2_000:
-                    yield _lists(a, b)
-                    a, b = [], []
-        if a:
-            yield _lists(a, b)
-
-    for batch in batches:
-        key, who = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(key):
-            continue
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        if kept_key is not None and key[0] == kept_key:
-            first = edge[1] if len(edge) > 1 else len(key)
-            kept = np.concatenate([kept, who[:first]])
-            edge = edge[1:]
-        if not len(edge):
-            continue
-        if len(kept) > 1:
-            yield from out([kept])
-        ends = np.append(edge[1:], len(key))
-        many = np.flatnonzero(ends[:-1] - edge[:-1] > 1)
-        yield from out([who[edge[i] : ends[i]] for i in many.tolist()])
-        kept_key, kept = key[-1], who[edge[-1] :]
-    if len(kept) > 1:
-        yield from out([kept])
-
-
-def _lists(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    def col(x: list[np.ndarray]) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(y) for y in x]), pa.int32()), pa.array(np.concatenate(x)))
-
-    return pa.RecordBatch.from_arrays([col(a), col(b)], names=["a", "b"])
+def meeting(k: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of members of equal keys whose sizes, and places on lists, let them be similar; all pairs of each distance at once."""
+    order = np.argsort(k["key"])
+    key = k["key"][order]
+    # Only keys that stand beside an equal one.
+    same = key[1:] == key[:-1]
+    many = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else same
+    key, order = key[many], order[many]
+    who, size, place = k["who"][order], k["size"][order].astype(np.int64), k["place"][order].astype(np.int64)
+    left = np.arange(len(key))
+    d = 0
+    while len(left):
+        d += 1
+        left = left[left + d < len(key)]
+        left = left[key[left] == key[left + d]]
+        x, y = left, left + d
+        a, b = size[x], size[y]
+        # What two sets can still share at these places, against what the bound asks; a size that is not known passes.
+        can = np.minimum(a - place[x], b - place[y])
+        fits = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9) & (can >= threshold / (1 + threshold) * (a + b) - 1e-9)
+        ok = fits | (np.maximum(a, b) == TOP)
+        u, v = who[x[ok]], who[y[ok]]
+        other = u != v
+        u, v = u[other], v[other]
+        if len(u):
+            yield np.minimum(u, v), np.maximum(u, v)
+
+
+def _met(threshold: float):
+    """Pairs of texts that meet under any key of the buckets of a task, each once."""
+
+    def once(us: list[np.ndarray], vs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        o = np.lexsort((v, u))
+        u, v = u[o], v[o]
+        first = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.empty(0, bool)
+        return u[first], v[first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[bytes]] = {}
+        for b in batches:
+            for bucket, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault(bucket, []).append(raw)
+        for bucket in list(by):
+            us, vs, held = [], [], 0
+            for u, v in meeting(np.frombuffer(b"".join(by.pop(bucket)), _KEY), threshold):
+                us.append(u)
+                vs.append(v)
+                held += len(u)
+                if held >= FLUSH:
+                    u, v = once(us, vs)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+                    us, vs, held = [], [], 0
+            if held:
+                u, v = once(us, vs)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+
+    return run
 
 
 def _parities(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,20 +380,22 @@ def _verified(threshold: float):
     return run
 
 
-def similar_texts(texts: DataFrame, stages: Stages, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None) -> DataFrame:
+def similar_texts(texts: DataFrame, stages: Stages, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None, hot_times: int = HOT_TIMES, cell: int = CELL) -> DataFrame:
     """(a, b, similarity) with a < b for texts ``tid``, ``text``, all different, whose similarity reaches the threshold."""
+    n = F.greatest(F.length("text") - (GRAM - 1), F.lit(0))
+    sizes = texts.groupBy(F.when(n < 64, n).otherwise(F.floor(F.exp(F.floor(F.log(n) * 40) / 40))).cast("long").alias("n")).count().where("n > 0").collect()
+    many = sum(r[1] for r in sizes)
+    # By hash of the number, so that tasks send only what is drawn; beyond the sample's size none is sent in any number.
+    share = min(1.0, HOT_SAMPLE / max(1, many))
+    drawn = [r[0] for r in texts.where(F.pmod(F.xxhash64("tid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").collect()]
     if bounds is None:
-        n = F.greatest(F.length("text") - (GRAM - 1), F.lit(0))
-        sizes = texts.groupBy(F.when(n < 64, n).otherwise(F.floor(F.exp(F.floor(F.log(n) * 40) / 40))).cast("long").alias("n")).count()
-        sample = [r[0] for r in texts.where(F.length("text") >= GRAM).orderBy(F.xxhash64("text")).limit(COST_SAMPLE).select("text").collect()]
-        bounds = heavy_sizes([(r[0], r[1]) for r in sizes.where("n > 0").collect()], _meeting(sample), threshold)
-    keys = spread(texts.select("tid", "text")).mapInArrow(_keys_of(*bounds, threshold), "key long, who long")
-    sized = lambda c: F.col(c).bitwiseAND(2**_SIZE_BITS - 1)
-    top = 2**_SIZE_BITS - 1
-    units = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_units, "a array<long>, b array<long>")
-    pairs = units.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b")).where("a < b")
-    like = (sized("a") == top) | (sized("b") == top) | (F.least(sized("a"), sized("b")) >= threshold * F.greatest(sized("a"), sized("b")) - 1e-9)
-    pairs = pairs.where(like).distinct().select(F.shiftright("a", _SIZE_BITS).alias("a"), F.shiftright("b", _SIZE_BITS).alias("b"))
+        bounds = boundaries([(r[0], r[1]) for r in sizes], _meeting(drawn[:COST_SAMPLE]), threshold)
+    hot = hot_keys(drawn, many, bounds, threshold, hot_times, cell)
+    total = sum(r[1] * (BANDS if r[0] < bounds[1] else int(prefix(np.array([r[0]]), threshold)[0])) for r in sizes)
+    buckets = max(1, math.ceil(total / BUCKET))
+    parts = max(buckets, 2 * texts.sparkSession.sparkContext.defaultParallelism)
+    keys = spread(texts.select("tid", "text")).mapInArrow(_packed(*bounds, threshold, parts, hot), "bucket int, keys binary")
+    pairs = keys.repartition(parts, "bucket").mapInArrow(_met(threshold), "a long, b long").distinct()
     # The keys' shuffle goes before the texts' begins.
     pairs = stages.write(pairs, "pairs")
     stages.sweep()
@@ -276,6 +404,17 @@ def similar_texts(texts: DataFrame, stages: Stages, threshold: float = THRESHOLD
     return both.mapInArrow(_verified(threshold), "a long, b long, similarity double")
 
 
+def hot_keys(sample: list[str], many: int, bounds: tuple[int, int], threshold: float, times: int = HOT_TIMES, cell: int = CELL) -> dict[int, int]:
+    """Keys that ``times`` texts of the sample share, with the parts that their group among ``many`` texts is cut into; one part is none."""
+    keys = [k for s in _blocks(sample) for k in [keys_of(sample[s], *bounds, threshold)[1]]]
+    if not keys:
+        return {}
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    at = np.flatnonzero(count >= times)
+    parts = np.ceil(2 * count[at] / len(sample) * many / cell).astype(int)
+    return {int(k): int(p) for k, p in zip(key[at], parts) if p > 1}
+
+
 def _meeting(sample: list[str]) -> float:
     """Mean share of the sample that stands on an element's list."""
     if len(sample) < 2:
@@ -283,27 +422,38 @@ def _meeting(sample: list[str]) -> float:
     owner, h = gram_hashes(sample)
     owner, h, _ = _distinct(owner, h, len(sample))
     _, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
-    return float((df[inverse] - 1).mean() / (len(sample) - 1))
+    return float((df[inverse] - 1).mean() / (len(sample) - 1)) if len(h) else 0.0
 
 
-def digest(text: Column) -> Column:
-    """What tells different normal texts apart, as bytes."""
-    return F.unhex(F.md5(normal(text)))
+def normalized(rows: DataFrame, title: str = "title", summary: str = "summary") -> DataFrame:
+    """The rows without both columns, with the ``digest`` of their normal text and the ``text``, null where it has fewer than GRAM characters."""
+    rest = [c for c in rows.columns if c not in (title, summary)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [plain(article(x, y)) for x, y in zip(b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_pylist())]
+            digests = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
+            kept = [t if len(t) >= GRAM else None for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(digests, pa.binary()), pa.array(kept, pa.string())], names=[*rest, "digest", "text"])
+
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest] + ["digest binary", "text string"])
+    return spread(rows.select(*rest, title, summary)).mapInArrow(run, schema)
 
 
-def near_duplicates(rows: DataFrame, members: DataFrame, text: Column | None = None, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(texts: DataFrame, members: DataFrame, stages: Stages | None = None, threshold: float = THRESHOLD, bounds: tuple[int, int] | None = None, **hot: int) -> tuple[DataFrame, DataFrame]:
     """(links, members): (a, b, similarity) between different texts, and (key, tid): which key has which text.
 
-    ``rows`` hold the texts, ``members`` say by (key, digest) who has which.
-    A key without a set, for its text has fewer than GRAM characters, takes no
-    part, nor does a null key; copies meet in one ``tid`` and are not paired.
+    ``texts`` hold ``digest`` and ``text`` as ``normalized`` gives them,
+    ``members`` say by (key, digest) who has which. A key without a set, for
+    its text has fewer than GRAM characters, takes no part, nor does a null
+    key; copies meet in one ``tid`` and are not paired.
     """
-    stages = Stages(rows.sparkSession, "neardup")
-    t = spread(rows.select((article_text() if text is None else text).alias("t"))).select(normal(F.col("t")).alias("text")).where(F.length("text") >= GRAM)
-    one = stages.write(t.groupBy(F.unhex(F.md5("text")).alias("digest")).agg(F.first("text").alias("text")).withColumn("tid", F.monotonically_increasing_id()), "texts")
+    stages = stages or Stages(texts.sparkSession, "neardup")
+    one = texts.where("text IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text")).withColumn("tid", F.monotonically_increasing_id())
+    one = stages.write(one, "texts")
     who = stages.write(members.where("key IS NOT NULL").join(one.select("digest", "tid"), "digest").select("key", "tid"), "members")
     stages.sweep()
-    return stages.write(similar_texts(one.select("tid", "text"), stages, threshold, bounds), "links"), who
+    return stages.write(similar_texts(one.select("tid", "text"), stages, threshold, bounds, **hot), "links"), who
 
 
 def pairs(links: DataFrame, members: DataFrame) -> DataFrame:

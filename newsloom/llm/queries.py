@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, encoding, knn, language, leakage, neardup, splitting, truncation
 from newsloom.operators import delivery
-from newsloom.session import table
+from newsloom.session import Stages, table
 
 #: Where the public tokenizers' files lie.
 TOKENIZERS = os.environ.get("NEWSLOOM_TOKENIZERS", bpe.DEFAULT_FOLDER)
@@ -50,11 +50,12 @@ def p6_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicates among messages that have an identifier, each once: repeats are sorted out on digests, texts stay behind."""
-    rows = table(spark, d, "articles_raw").where("id IS NOT NULL")
-    narrow = rows.select("id", "fetched_at_ms", "raw_offset", neardup.digest(neardup.article_text()).alias("digest"))
-    members = delivery.keep_one(narrow).select(delivery.message_key("id").alias("key"), "digest")
-    return neardup.near_duplicates(rows, members)
+    """Near-duplicates among messages that have an identifier, each once. Texts are made normal once; repeats are sorted out on digests."""
+    rows = table(spark, d, "articles_raw").where("id IS NOT NULL").select("id", "fetched_at_ms", "raw_offset", "title", "summary")
+    stages = Stages(spark, "neardup")
+    normal = stages.write(neardup.normalized(rows), "normal")
+    members = delivery.keep_one(normal.drop("text")).select(delivery.message_key("id").alias("key"), "digest")
+    return neardup.near_duplicates(normal.select("digest", "text"), members, stages)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -178,8 +178,8 @@ def norm_py(t):
     return regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).strip()
 
 
-@pytest.mark.parametrize("bounds", [None, (0, 1 << 40), (10**6, 10**7), (60, 120)])
-def test_near_duplicates(spark, bounds):
+@pytest.mark.parametrize("bounds,hot", [(None, {}), ((0, 1 << 40), {}), ((10**6, 10**7), {}), ((0, 1), {}), ((60, 120), {}), ((60, 120), {"hot_times": 2, "cell": 2})])
+def test_near_duplicates(spark, bounds, hot):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)]
     texts = []
@@ -194,36 +194,47 @@ def test_near_duplicates(spark, bounds):
     texts += ["", "abc", "x" * 30_000, "x" * 30_001, texts[0]]
     rows = [(f"{i:03d}", t, None) for i, t in enumerate(texts)] + [(None, texts[0], None), ("990", None, "s"), ("991", None, None)]
     df = spark.createDataFrame(rows, "id string, title string, summary string").withColumn("text", F.lit("clash"))
-    members = df.select(F.col("id").alias("key"), neardup.digest(neardup.article_text()).alias("digest"))
-    links, who = neardup.near_duplicates(df, members, bounds=bounds)
+    normal = neardup.normalized(df.drop("text"))
+    members = normal.select(F.col("id").alias("key"), "digest")
+    links, who = neardup.near_duplicates(normal, members, bounds=bounds, **hot)
     got = {(r.id_a, r.id_b) for r in neardup.pairs(links, who).collect()}
     sets = {i: {n[k : k + 5] for k in range(len(n) - 4)} for i, t, _ in rows if i and t and len(n := norm_py(t)) >= 5}
     want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert got == want and len(want) > 20
     group = {r.key: r.group for r in neardup.groups(links, who).collect()}
     assert all(group[a] == group[b] for a, b in want) and len(group) == len(sets)
-    assert neardup.pairs(*neardup.near_duplicates(df.limit(0), members.limit(0))).count() == 0
+    assert neardup.pairs(*neardup.near_duplicates(normal.limit(0), members.limit(0))).count() == 0
 
 
-def test_hot_keys_are_handed_out_in_blocks():
-    import pyarrow as pa
+def _group(who, key=5):
+    k = np.zeros(len(who), neardup._KEY)
+    k["key"], k["who"], k["size"] = key, who, 100
+    return k
 
-    who = np.arange(1000)
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(250, 5)), pa.array(who[i : i + 250])], names=["key", "who"]) for i in range(0, 1000, 250)]
-    units = [(a, b) for r in neardup._units(iter(batches)) for a, b in zip(*[c.to_pylist() for c in r.columns])]
-    assert max(len(a) for a, _ in units) <= neardup.BLOCK
-    assert len({(x, y) for a, b in units for x in a for y in b if x < y}) == 1000 * 999 // 2
 
+def _met(k):
+    return {(x, y) for a, b in neardup.meeting(k, neardup.THRESHOLD) for x, y in zip(a.tolist(), b.tolist())}
 
-def test_hot_keys_keep_every_pair_in_any_order():
-    import pyarrow as pa
 
+def test_members_of_a_key_meet_in_any_order():
     who = np.random.default_rng(8).permutation(1000)
-    key = np.repeat([3, 5], [300, 700])
-    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 250]), pa.array(who[i : i + 250])], names=["key", "who"]) for i in range(0, 1000, 250)]
-    units = [(a, b) for r in neardup._units(iter(batches)) for a, b in zip(*[c.to_pylist() for c in r.columns])]
     want = {(min(x, y), max(x, y)) for g in (who[:300].tolist(), who[300:].tolist()) for x in g for y in g if x != y}
-    assert {(x, y) for a, b in units for x in a for y in b if x < y} == want
+    assert _met(_group(who, np.repeat([3, 5], [300, 700]))) == want
+
+
+def test_hot_keys_are_cut_into_cells():
+    k = neardup.cells(np.concatenate([_group(np.arange(1000)), _group(np.arange(3), 7)]), {5: 10})
+    sizes = np.unique(k["key"], return_counts=True)[1]
+    assert len(sizes) == 56 and sizes.max() < 300  # 55 pairs of ten parts, and the key that is not hot
+    assert _met(k) == {(x, y) for x in range(1000) for y in range(x + 1, 1000)}
+
+
+def test_boundaries_by_cost():
+    # Few large sets: lists cost less than hashing all their elements eight times. Few small ones: all subsets of two do.
+    sizes = [(n, 10) for n in range(10, 60)] + [(n, 100_000) for n in range(200, 300)] + [(n, 5) for n in range(2_000, 2_100)]
+    lo, hi = neardup.boundaries(sizes, 0.05)
+    assert 30 < lo < 200 and 300 < hi <= 2_000
+    assert neardup.boundaries([], 0.1) == (0, 1 << 40) and neardup.boundaries([(250, 10**6)], 0.1) == (0, 1 << 40)
 
 
 # Tokens.
