@@ -48,8 +48,10 @@ CELL, BUCKET, FLUSH = 4_096, 1_000_000, 1_000_000
 CHARS = 200_000
 #: Bits of the sketch that spares most false candidates the comparison of their sets.
 PARITY = 512
-#: Nanoseconds of a key on its way, of an element in one row of the drawn subsets, and of two keys that meet.
-KEY_NS, GRAM_NS, MEET_NS = 300, 15, 2
+#: Nanoseconds, as measured, of a key on its way, of an element in one row of the drawn subsets, and of a pair that is held against both texts.
+KEY_NS, GRAM_NS, PAIR_NS = 150, 4, 10_000
+#: How many times as much as drawn subsets the keys that lose nothing may cost.
+WORTH = 4
 #: Sizes and places above this count as this and are not held against each other.
 TOP = 65_535
 
@@ -151,14 +153,15 @@ def prefix(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def boundaries(sizes: list[tuple[int, int]], meet: float, threshold: float = THRESHOLD) -> tuple[int, int]:
+def boundaries(sizes: list[tuple[int, int]], meet: float, threshold: float = THRESHOLD, worth: float = WORTH) -> tuple[int, int]:
     """(lo, hi): sets of at most ``lo`` elements enumerate subsets, those of at least ``hi`` stand on lists, others draw subsets.
 
-    ``sizes`` counts sets by size; ``meet`` is the share of an element's list
-    among all sets of like size. Drawn subsets cost their keys and the hashes
-    of all elements; enumerated ones their keys; lists their keys and those
-    that they meet, the more the more sets are of like size. Sets that a
-    boundary puts on both sides count on both.
+    ``sizes`` counts sets by size; ``meet`` is the share of pairs of like size
+    that lists bring together. Drawn subsets cost their keys and the hashes of
+    all elements; the other two their keys and the pairs that they bring
+    together, the more the more sets are of like size, and may cost ``worth``
+    times as much, for they lose nothing. Sets that a boundary puts on both
+    sides count on both.
     """
     none = 1 << 40
     if not sizes:
@@ -168,9 +171,9 @@ def boundaries(sizes: list[tuple[int, int]], meet: float, threshold: float = THR
     total = np.concatenate([[0], np.cumsum(n)])
     near = total[np.searchsorted(size, size / threshold, "right")] - total[np.searchsorted(size, size * threshold, "left")]
     p = prefix(size, threshold)
-    drawn = n * (BANDS * KEY_NS + size * ROWS * GRAM_NS)
-    first = np.minimum(p + 1, size)
-    listed, pairs = n * p * (KEY_NS + meet * near * MEET_NS / 2), n * np.maximum(first * (first - 1) / 2, 1) * KEY_NS
+    drawn = worth * n * (BANDS * KEY_NS + size * ROWS * GRAM_NS)
+    first, together = np.minimum(p + 1, size), meet * near / 2 * PAIR_NS
+    listed, pairs = n * (p * KEY_NS + together), n * (np.maximum(first * (first - 1) / 2, 1) * KEY_NS + together)
 
     def least(gain: np.ndarray, both: np.ndarray) -> int:
         """How many sizes from the start take the other way: what they save against what those in reach pay besides."""
@@ -389,7 +392,7 @@ def similar_texts(texts: DataFrame, stages: Stages, threshold: float = THRESHOLD
     share = min(1.0, HOT_SAMPLE / max(1, many))
     drawn = [r[0] for r in texts.where(F.pmod(F.xxhash64("tid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").collect()]
     if bounds is None:
-        bounds = boundaries([(r[0], r[1]) for r in sizes], _meeting(drawn[:COST_SAMPLE]), threshold)
+        bounds = boundaries([(r[0], r[1]) for r in sizes], _meeting(drawn[:COST_SAMPLE], threshold), threshold)
     hot = hot_keys(drawn, many, bounds, threshold, hot_times, cell)
     total = sum(r[1] * (BANDS if r[0] < bounds[1] else int(prefix(np.array([r[0]]), threshold)[0])) for r in sizes)
     buckets = max(1, math.ceil(total / BUCKET))
@@ -415,14 +418,21 @@ def hot_keys(sample: list[str], many: int, bounds: tuple[int, int], threshold: f
     return {int(k): int(p) for k, p in zip(key[at], parts) if p > 1}
 
 
-def _meeting(sample: list[str]) -> float:
-    """Mean share of the sample that stands on an element's list."""
-    if len(sample) < 2:
+def _meeting(sample: list[str], threshold: float = THRESHOLD) -> float:
+    """Share of the sample's pairs of like size that lists bring together."""
+    ids, ks, sizes = np.arange(len(sample)), [], []
+    for s in _blocks(sample):
+        who, key, size, place = keys_of(sample[s], 0, 1, threshold)
+        k = np.empty(len(who), _KEY)
+        k["key"], k["who"], k["size"], k["place"] = key, ids[s][who], np.minimum(size, TOP), np.minimum(place, TOP)
+        ks.append(k)
+        sizes.append(size[place == 0])
+    if not ks:
         return 0.0
-    owner, h = gram_hashes(sample)
-    owner, h, _ = _distinct(owner, h, len(sample))
-    _, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
-    return float((df[inverse] - 1).mean() / (len(sample) - 1)) if len(h) else 0.0
+    n = np.sort(np.concatenate(sizes))
+    like = int((np.searchsorted(n, n / threshold + 1e-9, "right") - np.arange(len(n)) - 1).sum())
+    met = {x for u, v in meeting(np.concatenate(ks), threshold) for x in (u * len(sample) + v).tolist()}
+    return len(met) / like if like else 0.0
 
 
 def normalized(rows: DataFrame, title: str = "title", summary: str = "summary") -> DataFrame:
