@@ -42,8 +42,8 @@ GRAM, THRESHOLD = 5, 0.8
 ROWS, BANDS = 8, 48
 #: Texts that the cost of lists is estimated from, and those that hot keys are looked for in with the times that make one.
 COST_SAMPLE, HOT_SAMPLE, HOT_TIMES = 400, 4_096, 4
-#: Members of a hot key that one cell is meant to hold, keys that a bucket is, and keys that a worker packs at a time.
-CELL, BUCKET, FLUSH = 4_096, 1_000_000, 1_000_000
+#: Members of a hot key that one cell is meant to hold, keys that a task takes, in how many buckets, and keys that a worker packs at a time.
+CELL, KEYS, BUCKETS, FLUSH = 4_096, 500_000, 8, 1_000_000
 #: Characters that a worker hashes at a time.
 CHARS = 200_000
 #: Bits of the sketch that spares most false candidates the comparison of their sets.
@@ -395,9 +395,8 @@ def similar_texts(texts: DataFrame, stages: Stages, threshold: float = THRESHOLD
         bounds = boundaries([(r[0], r[1]) for r in sizes], _meeting(drawn[:COST_SAMPLE], threshold), threshold)
     hot = hot_keys(drawn, many, bounds, threshold, hot_times, cell)
     total = sum(r[1] * (BANDS if r[0] < bounds[1] else int(prefix(np.array([r[0]]), threshold)[0])) for r in sizes)
-    buckets = max(1, math.ceil(total / BUCKET))
-    parts = max(buckets, 2 * texts.sparkSession.sparkContext.defaultParallelism)
-    keys = spread(texts.select("tid", "text")).mapInArrow(_packed(*bounds, threshold, parts, hot), "bucket int, keys binary")
+    parts = max(math.ceil(total / KEYS), texts.sparkSession.sparkContext.defaultParallelism)
+    keys = spread(texts.select("tid", "text")).mapInArrow(_packed(*bounds, threshold, BUCKETS * parts, hot), "bucket int, keys binary")
     pairs = keys.repartition(parts, "bucket").mapInArrow(_met(threshold), "a long, b long").distinct()
     # The keys' shuffle goes before the texts' begins.
     pairs = stages.write(pairs, "pairs")
