@@ -233,6 +233,25 @@ def keys_of(texts: list[str], lo: int, hi: int, threshold: float = THRESHOLD) ->
 _KEY = np.dtype([("key", np.uint64), ("who", np.int64), ("size", np.uint16), ("place", np.uint16)])
 
 
+#: Its bytes that travel: of the key, the two highest are all but known from the bucket.
+_SENT = [0, 1, 2, 3, 4, 5, *range(8, _KEY.itemsize)]
+
+
+def _pack(k: np.ndarray) -> bytes:
+    """Byte by byte through all keys, for like bytes beside each other compress well."""
+    return k.view(np.uint8).reshape(len(k), -1)[:, _SENT].T.tobytes()
+
+
+def _unpack(raw: list[bytes]) -> np.ndarray:
+    out = np.zeros(sum(map(len, raw)) // len(_SENT), _KEY)
+    at, flat = 0, out.view(np.uint8).reshape(len(out), -1)
+    for r in raw:
+        b = np.frombuffer(r, np.uint8).reshape(len(_SENT), -1)
+        flat[at : at + b.shape[1], _SENT] = b.T
+        at += b.shape[1]
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
@@ -266,7 +285,7 @@ def _packed(lo: int, hi: int, threshold: float, buckets: int, hot: dict[int, int
         order = np.argsort(bucket, kind="stable")
         k, bucket = k[order], bucket[order]
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        raw = [k[a:b].tobytes() for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(k)])]
+        raw = [_pack(k[a:b]) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(k)])]
         return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(raw, pa.binary())], names=["bucket", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +353,7 @@ def _met(threshold: float):
                 by.setdefault(bucket, []).append(raw)
         for bucket in list(by):
             us, vs, held = [], [], 0
-            for u, v in meeting(np.frombuffer(b"".join(by.pop(bucket)), _KEY), threshold):
+            for u, v in meeting(_unpack(by.pop(bucket)), threshold):
                 us.append(u)
                 vs.append(v)
                 held += len(u)
