@@ -1,12 +1,15 @@
 """The most similar vectors of every vector, by NN-descent on Spark joins.
 
 Equal vectors form one node first, so a vector that many rows share is
-searched once. The graph starts from blocks: vectors on the same side of a few
-random hyperplanes are compared within their block, for several sets of
-planes. Then neighbours of neighbours are joined, the most promising new pairs
-are measured, and each node keeps its best, until few pairs improve anything.
-New vectors are answered by greedy search: they enter the graph through their
-blocks and walk to neighbours of their best nodes as long as these get better.
+searched once. The graph starts, as implementations of NN-descent do, from
+small blocks: vectors on the same side of several random hyperplanes are
+compared within their block, for several sets of planes. Then each round joins
+neighbours of neighbours: every node sends its vector to the nodes on its
+list, and where two meet, of which one is new there, they are measured against
+each other and offered to each other's lists, until few offers improve
+anything. New vectors are answered by greedy search: they enter the graph
+through their blocks and walk to neighbours of their best nodes as long as
+these get better.
 """
 
 from __future__ import annotations
@@ -22,16 +25,22 @@ from pyspark.sql import functions as F
 from newsloom.session import Stages
 
 NEIGHBOURS, LEAST = 5, 0.82
-#: Nodes that a list of the graph holds, and rows of a class of equal vectors that can be anyone's neighbours.
-KEEP = 10
-#: Sets of hyperplanes, and vectors that a block is meant to hold; twice as many at most.
-TABLES, BLOCK = 4, 8_192
-#: Candidates that a node measures in a round, rounds at most, and the share of new edges at which they end.
-TRIES, ROUNDS, SETTLED = 4, 3, 0.01
+#: Nodes that a list of the graph holds at least, rows of a class of equal vectors that can be anyone's neighbours, and what a node takes from a block.
+KEEP, FROM_BLOCK = 12, 8
+#: How far below the least cosine an edge may lie that the descent walks over.
+SLACK = 0.12
+#: Vectors that a block is meant to hold, up to twice as many, and OVERSIZE times as many at most; sets of hyperplanes for each plane of a set.
+BLOCK, OVERSIZE, TABLES = 1_024, 4, 0.75
+#: Rounds at most, the share of new edges at which they end, and nodes that are measured against each other where many meet.
+ROUNDS, SETTLED, CHUNK = 8, 0.01, 32
+#: Candidates that a vector asks for in a step of the search.
+TRIES = 8
 #: Vectors whose mean the hyperplanes pass through, and vectors a part that the cuts of an oversized block are drawn from.
 CENTRE_SAMPLE, CUT_SAMPLE = 4_096, 128
 #: Digits to which cosines count as equal.
 DIGITS = 6
+#: Rows that a task takes of edges, and of edges with vectors.
+ROWS, VECTORS = 1_000_000, 200_000
 
 
 def usable(rows: DataFrame, key: str, vector: str, group: str, size: int) -> DataFrame:
@@ -183,19 +192,99 @@ def best_of(edges: DataFrame, keep: int, by: tuple[Column, ...] | None = None) -
     return edges.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= keep).drop("__r")
 
 
+def _lists(keep: int, full: int):
+    """From rows (u, v, s, fresh): each u's ``keep`` best different v, known ones not fresh; with ``worst``, what an offer to a full list of ``full`` must exceed."""
+
+    def best(u: np.ndarray, v: np.ndarray, s: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, ...]:
+        o = np.lexsort((fresh, v, u))
+        u, v, s, fresh = u[o], v[o], s[o], fresh[o]
+        first = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+        u, v, s, fresh = u[first], v[first], s[first], fresh[first]
+        o = np.lexsort((v, -s, u))
+        u, v, s, fresh = u[o], v[o], s[o], fresh[o]
+        start = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        count = np.diff(np.append(start, len(u)))
+        kept = np.arange(len(u)) - np.repeat(start, count) < keep
+        last = s[start + np.minimum(count, full) - 1]
+        return u[kept], v[kept], s[kept], np.repeat(np.where(count >= full, last, -1.0), count)[kept], fresh[kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [[c.to_numpy(zero_copy_only=False) for c in b.columns[:4]] for b in batches if b.num_rows]
+        if cols:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(*[np.concatenate(c) for c in zip(*cols)])], names=["u", "v", "s", "worst", "fresh"])
+
+    return run
+
+
+def _both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        u, v, s, fresh = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((u, v), (v, u), (s, s), (fresh, fresh))], names=["u", "v", "s", "fresh"])
+
+
+def _meet(size: int, floor: float):
+    """From rows (m, x, s, worst, fresh, vec), all of an m in one task: what nodes on the same m's doorstep, one of them new there, have to offer each other.
+
+    Where more than CHUNK meet, those most alike m meet each other, the next ones each other, and so on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        m, x, s, worst, fresh = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(5))
+        vec = np.concatenate([_matrix(b.column(5), size) for b in got])
+        o = np.lexsort((x, -s, m))
+        m, x, worst, fresh, vec = m[o], x[o], worst[o], fresh[o], vec[o]
+        start = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+        rank = np.arange(len(m)) - np.repeat(start, np.diff(np.append(start, len(m))))
+        start = np.flatnonzero(rank % CHUNK == 0)
+        count = np.diff(np.append(start, len(m)))
+        seen: list[tuple[np.ndarray, ...]] = []
+        for width in (2, 4, 8, 16, CHUNK):
+            groups = start[(count > width // 2) & (count <= width) & (count > 1)]
+            i, j = np.triu_indices(width, 1)
+            for at in range(0, len(groups), max(1, 40_000 // width)):
+                g = groups[at : at + max(1, 40_000 // width)]
+                place = g[:, None] + np.arange(width)
+                there = np.arange(width) < np.diff(np.append(start, len(m)))[np.searchsorted(start, g)][:, None]
+                place = np.where(there, place, g[:, None])
+                y = vec[place]
+                c = np.round(np.matmul(y, y.transpose(0, 2, 1))[:, i, j].astype(np.float64), DIGITS)
+                a, b = place[:, i], place[:, j]
+                ok = there[:, i] & there[:, j] & (c >= floor) & (fresh[a] | fresh[b]) & ((c > worst[a]) | (c > worst[b]))
+                a, b, c = x[a[ok]], x[b[ok]], c[ok]
+                seen.append((np.minimum(a, b), np.maximum(a, b), c))
+        if not seen:
+            return
+        u, v, c = (np.concatenate(p) for p in zip(*seen))
+        o = np.lexsort((v, u))
+        u, v, c = u[o], v[o], c[o]
+        first = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.empty(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(v[first]), pa.array(c[first]), pa.array(np.ones(int(first.sum()), bool))], names=["u", "v", "s", "fresh"])
+
+    return run
+
+
+_EDGE = "u long, v long, s double, fresh boolean"
+
+
 class Graph:
     """The neighbour graph over distinct vectors.
 
     ``nodes``: nid (the lowest key of the vector), grp, vec, keys (its lowest
-    KEEP keys); ``members``: key, nid; ``edges``: u, v, s, the best KEEP of each u.
+    ``keep`` keys); ``members``: key, nid; ``edges``: u, v, s, the best ``keep``
+    of each u, of cosine ``least`` - SLACK and more. ``k``: neighbours that
+    will be asked for at most.
     """
 
-    def __init__(self, rows: DataFrame, key: str, vector: str, group: str, size: int, least: float = LEAST, tables: int = TABLES, block: int = BLOCK, rounds: int = ROUNDS):
-        self.spark, self.size, self.least, self.tables, self.block = rows.sparkSession, size, least, tables, block
+    def __init__(self, rows: DataFrame, key: str, vector: str, group: str, size: int, least: float = LEAST, block: int = BLOCK, rounds: int = ROUNDS, k: int = NEIGHBOURS):
+        self.spark, self.size, self.least, self.block = rows.sparkSession, size, least, block
+        self.keep, self.floor = max(KEEP, k + 1), least - SLACK
         self.stages = Stages(self.spark, "knn")
         base = self.stages.write(usable(rows, key, vector, group, size), "base")
         w = Window.partitionBy("digest").orderBy("key")
-        low = base.select("key", "digest").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= KEEP)
+        low = base.select("key", "digest").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.keep)
         heads = low.groupBy("digest").agg(F.array_sort(F.collect_list("key")).alias("keys"))
         heads = self.stages.write(heads.withColumn("nid", F.element_at("keys", 1)), "heads")
         self.members = base.select("key", "digest").distinct().join(heads.select("digest", "nid"), "digest").select("key", "nid")
@@ -203,16 +292,19 @@ class Graph:
         self.nodes = self.stages.write(one.select("nid", "grp", "vec", "keys").dropDuplicates(["nid"]), "nodes")
         self.members = self.stages.write(self.members, "members")
         self.stages.drop("base")
-        n = self.nodes.count()
-        self.bits = max(0, math.ceil(math.log2(max(1, n) / block)))
-        drawn = self.nodes.orderBy(F.xxhash64("nid")).limit(CENTRE_SAMPLE).select("vec").collect()
+        self.n = self.nodes.count()
+        self.bits = math.floor(math.log2(max(1.0, self.n / block)))
+        self.tables = max(1, math.ceil(TABLES * self.bits))
+        # By hash, so that tasks send only what is drawn.
+        share = min(1.0, CENTRE_SAMPLE / max(1, self.n))
+        drawn = self.nodes.where(F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").collect()
         self.centre = np.mean([np.frombuffer(r[0], np.float32) for r in drawn], axis=0) if drawn else np.zeros(size)
-        self.edges = self._descend(self._start(), rounds)
+        self.edges = self._descend(rounds)
 
     def _cuts(self, t: DataFrame, table: int) -> dict[tuple, np.ndarray]:
         """Per block of too many vectors: where directions of this table's own cut it at medians, so that near ones stay
         together and other tables part it elsewhere."""
-        sizes = t.groupBy("code", "grp").count().where(F.col("count") > 2 * self.block).collect()
+        sizes = t.groupBy("code", "grp").count().where(F.col("count") > OVERSIZE * self.block).collect()
         if not sizes:
             return {}
         large = self.spark.createDataFrame(
@@ -231,7 +323,7 @@ class Graph:
         if asking is not None:
             t = t.unionByName(code(asking, cuts).select("*", F.lit(True).alias("asks"), F.lit(False).alias("answers")))
         t = t.select("nid", "vec", "asks", "answers", "code", "grp", "part")
-        return t.groupBy("code", "grp", "part").applyInArrow(_within_block(self.size, self.least, KEEP), "u long, v long, s double")
+        return t.groupBy("code", "grp", "part").applyInArrow(_within_block(self.size, self.floor, FROM_BLOCK if asking is None else self.keep), "u long, v long, s double")
 
     def _blocks(self, name: str, asking: DataFrame | None = None) -> DataFrame:
         """The same over all tables, one after another, so that only one lies shuffled at a time."""
@@ -242,8 +334,37 @@ class Graph:
             self.stages.sweep()
         return out.distinct()
 
-    def _start(self) -> DataFrame:
-        return best_of(self._blocks("blocks"), KEEP)
+    def _parts(self, rows: int, most: int) -> int:
+        return max(self.spark.sparkContext.defaultParallelism, math.ceil(rows / most))
+
+    def _listed(self, edges: DataFrame, rows: int, name: str) -> DataFrame:
+        """The lists that edges make when each is offered to both of its ends."""
+        both = edges.select("u", "v", "s", "fresh").mapInArrow(_both_ways, _EDGE).repartition(self._parts(2 * rows, ROWS), "u")
+        return self.stages.write(both.mapInArrow(_lists(self.keep, self.keep), "u long, v long, s double, worst double, fresh boolean"), name)
+
+    def _descend(self, rounds: int) -> DataFrame:
+        start = self._blocks("blocks").withColumn("fresh", F.lit(True))
+        lists = self._listed(start, FROM_BLOCK * self.n, "lists0")
+        self.stages.sweep()
+        #: Different pairs on the lists after the start and after each round, and how many of them are new.
+        self.progress = [lists.agg(F.count("*"), F.count_if("fresh")).first()]
+        for i in range(1, rounds + 1):
+            edges = self.progress[-1][0]
+            vectors = self.nodes.select(F.col("nid").alias("u"), "vec")
+            sent = lists.join(vectors, "u").select(F.col("v").alias("m"), F.col("u").alias("x"), "s", "worst", "fresh", "vec")
+            offers = sent.repartition(self._parts(edges, VECTORS), "m").mapInArrow(_meet(self.size, self.floor), _EDGE)
+            offers = self.stages.write(offers, f"offers{i}")
+            self.stages.sweep()
+            known = lists.select("u", "v", "s", F.lit(False).alias("fresh"))
+            new = self._listed(known.unionByName(offers), 4 * edges, f"lists{i}")
+            self.progress.append(new.agg(F.count("*"), F.count_if("fresh")).first())
+            self.stages.drop(f"lists{i - 1}")
+            self.stages.drop(f"offers{i}")
+            lists = new
+            self.stages.sweep()
+            if self.progress[-1][1] <= SETTLED * self.progress[-1][0]:
+                break
+        return lists.select("u", "v", "s")
 
     def _two_hops(self, near: DataFrame, edges: DataFrame) -> DataFrame:
         """(u, v): nodes two hops from u that are not on its list, the TRIES likeliest by the product of the hops' cosines."""
@@ -251,31 +372,13 @@ class Graph:
         two = a.join(b, "m").where("u <> v").groupBy("u", "v").agg(F.max(F.col("s1") * F.col("s2")).alias("s"))
         return best_of(two.join(near.select("u", "v"), ["u", "v"], "left_anti"), TRIES)
 
-    def _descend(self, start: DataFrame, rounds: int) -> DataFrame:
-        edges = self.stages.write(start, "edges0")
-        for i in range(1, rounds + 1):
-            back = best_of(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), KEEP)
-            both = best_of(edges.unionByName(back).distinct(), KEEP)
-            cand = self._two_hops(both, both).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            new = _measured(cand, self.nodes, self.nodes, self.size, self.least)
-            new = self.stages.write(new.unionByName(new.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")), f"new{i}")
-            merged = self.stages.write(best_of(both.unionByName(new).groupBy("u", "v").agg(F.max("s").alias("s")), KEEP), f"edges{i}")
-            # How much a round changed: new edges that made it onto a list.
-            gained = merged.join(new.select("u", "v"), ["u", "v"], "left_semi").count()
-            total = merged.count()
-            self.stages.drop(f"edges{i - 1}")
-            self.stages.drop(f"new{i}")
-            edges = merged
-            self.stages.sweep()
-            if gained <= SETTLED * total:
-                break
-        return edges
-
     def neighbours(self, k: int = NEIGHBOURS) -> DataFrame:
         """(key, neighbour, cosine): the k nearest of each row, equal cosines by lower key."""
+        if k >= self.keep:
+            raise ValueError("the graph was built for fewer neighbours")
         own = self.nodes.select(F.col("nid").alias("u"), F.explode("keys").alias("n"), F.lit(1.0).alias("s"))
         keys = self.nodes.select(F.col("nid").alias("v"), "keys")
-        other = self.edges.join(keys, "v").select("u", F.explode("keys").alias("n"), "s")
+        other = self.edges.where(F.col("s") >= self.least).join(keys, "v").select("u", F.explode("keys").alias("n"), "s")
         w = Window.partitionBy("u").orderBy(F.desc("s"), F.asc("n"))
         top = own.unionByName(other).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
         lists = top.groupBy(F.col("u").alias("nid")).agg(F.array_sort(F.collect_list(F.struct("r", "n", "s"))).alias("near"))
@@ -284,17 +387,19 @@ class Graph:
 
     def search(self, queries: DataFrame, key: str, vector: str, group: str, k: int = NEIGHBOURS, steps: int = 4) -> DataFrame:
         """(key, neighbour, cosine) of vectors that need not be in the graph, by greedy search from the nodes of their blocks."""
+        if k >= self.keep:
+            raise ValueError("the graph was built for fewer neighbours")
         q = usable(queries, key, vector, group, self.size).dropDuplicates(["key"])
         q = self.stages.write(q.select((-F.col("key") - 1).alias("nid"), "grp", "vec"), "queries")
-        front = self.stages.write(best_of(self._blocks("asked", q), KEEP), "front0")
+        front = self.stages.write(best_of(self._blocks("asked", q), self.keep), "front0")
         for i in range(1, steps + 1):
-            new = _measured(self._two_hops(front, self.edges), q, self.nodes, self.size, self.least)
-            after = self.stages.write(best_of(front.unionByName(new).distinct(), KEEP), f"front{i}")
+            new = _measured(self._two_hops(front, self.edges), q, self.nodes, self.size, self.floor)
+            after = self.stages.write(best_of(front.unionByName(new).distinct(), self.keep), f"front{i}")
             gained = after.join(front, ["u", "v"], "left_anti").limit(1).count()
             front = after
             if not gained:
                 break
-        rows = front.join(self.nodes.select(F.col("nid").alias("v"), "keys"), "v").select("u", F.explode("keys").alias("v"), "s")
+        rows = front.where(F.col("s") >= self.least).join(self.nodes.select(F.col("nid").alias("v"), "keys"), "v").select("u", F.explode("keys").alias("v"), "s")
         return best_of(rows, k).select((-F.col("u") - 1).alias("key"), F.col("v").alias("neighbour"), F.col("s").alias("cosine"))
 
 
