@@ -40,7 +40,7 @@ CENTRE_SAMPLE, CUT_SAMPLE = 4_096, 128
 #: Digits to which cosines count as equal.
 DIGITS = 6
 #: Rows that a task takes of edges, and of edges with vectors.
-ROWS, VECTORS = 1_000_000, 200_000
+ROWS, VECTORS = 250_000, 25_000
 
 
 def usable(rows: DataFrame, key: str, vector: str, group: str, size: int) -> DataFrame:
