@@ -11,6 +11,8 @@ pile up. All of it is SQL functions, joins and aggregates over all values.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,25 +25,22 @@ STOP_HABIT, LEAST_ENDS = 0.75, 10
 #: How often a length must occur in a source against the lengths around it to be a limit; half of its values must show a cut otherwise.
 PILE, PILE_LEAST, AROUND = 6.0, 8, 5
 
-#: Marks of a cut; what closes after a stop; stops.
+#: Marks of a cut; what closes after a stop; stops; brackets that are opened and what closes each.
 CUT_MARK = r"(?:\s*(?:…|\.\.\.+|\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|\(more\)|&hellip;|&#8230;))+\s*$"
-CLOSERS = r"[\s\"'”’»›）)\]」』*+]*"
-STOP_END = r"[.!?…。！？]" + CLOSERS + "$"
+CLOSERS = " \"'”’»›）)]」』*+"
+STOPS = ".!?…。！？"
 BROKEN = r"(?:&#?\w{0,8}|�)\s*$"
-OPEN = r"(?:\([^()]{0,60}|\[[^\[\]]{0,60}|«[^«»]{0,99}|„[^„“”]{0,99}|「[^「」]{0,99})$"
+OPENED = (("(", ")"), ("[", "]"), ("«", "»"), ("„", "“”"), ("「", "」"))
 #: Notes behind a whole text: bracketed notes, counters, signs, a word behind a dash.
 NOTES = r"(?:\s*(?:\([^()]*\)|\[[^\[\]]*\]|[*+]+|\s[–—-]\s\p{L}{2,8}))+\s*$"
-TOKEN = r"\p{N}+|[\p{IsKatakana}ー]+|[\p{IsHan}\p{IsHiragana}]|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[^\s\p{L}\p{N}\p{M}]"
+#: Words of plain letters are told first, for they are most of all; the others, numbers, and signs by themselves.
+TOKEN = r"\s*+([A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ӿ]++(?![\p{L}\p{M}'’])|\p{N}+|[\p{IsKatakana}ー]+|[\p{IsHan}\p{IsHiragana}]|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[^\s\p{L}\p{N}\p{M}])"
 STOP = "."
 
 
-#: Characters at the end of a value that are looked at, and those of them that hold its last three words.
-TAIL, LAST_WORDS = 110, 64
-
-
 def plain(text: Column) -> Column:
     """The text without markup and entities of white space."""
-    t = F.when(F.instr(text, "<") > 0, F.regexp_replace(text, r"<[^<>]{0,300}>", " ")).otherwise(text)
+    t = F.when(F.instr(text, "<") > 0, F.regexp_replace(text, r"<[^<>]*>", " ")).otherwise(text)
     t = F.when(F.instr(t, "&") > 0, F.regexp_replace(t, r"&nbsp;|&#160;", " ")).otherwise(t)
     return F.rtrim(F.translate(t, "\u00a0\u3000\t\r\n", "     "))
 
@@ -57,15 +56,34 @@ def ending(p: Column) -> Column:
     return F.rtrim(F.when(noted, F.regexp_replace(t, NOTES, "")).otherwise(t))
 
 
+def stopped(p: Column) -> Column:
+    """Whether a stop ends the text, whatever closes behind it."""
+    return F.right(F.rtrim(p, F.lit(CLOSERS)), F.lit(1)).isin(*STOPS)
+
+
+def unclosed(p: Column, opens: str, closes: str) -> Column:
+    """Whether no closing sign follows the last opening one."""
+    rest = F.substring_index(p, opens, -1)
+    return (F.instr(p, opens) > 0) & ~F.greatest(*[F.instr(rest, c) for c in (closes if len(closes) > 1 else closes * 2)]).cast("boolean")
+
+
+def in_markup(text: Column) -> Column:
+    """Whether the text ends inside a tag, however long."""
+    return (F.instr(text, "<") > 0) & (F.instr(F.substring_index(text, "<", -1), ">") == 0)
+
+
 def tokens(text: Column) -> Column:
     """Words, numbers, signs; Japanese by character, katakana in runs; every stop is the same."""
-    return F.regexp_extract_all(F.translate(text, "!?。！？", "....."), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.translate(text, "!?。！？", "....."), F.lit(TOKEN), F.lit(1))
 
 
 def masked(x: Column) -> Column:
     """Numbers, katakana and capitalised words each as one class: most are names."""
-    c = F.substring(x, 1, 1)
-    return F.when((c >= "0") & (c <= "9"), F.lit("0")).when((c >= "ァ") & (c <= "ヿ"), F.lit("K")).when(c != F.lower(c), F.lit("X")).otherwise(x)
+    code, c = F.ascii(x), F.substring(x, 1, 1)
+    return (
+        F.when(code.between(ord("a"), ord("z")), x).when(code.between(ord("A"), ord("Z")), F.lit("X")).when(code.between(ord("0"), ord("9")), F.lit("0"))
+        .when((c >= "ァ") & (c <= "ヿ"), F.lit("K")).when(c != F.lower(c), F.lit("X")).otherwise(x)
+    )
 
 
 def values(rows: DataFrame, key: str = "raw_offset", source: str = "source_id", fields: tuple[str, ...] = ("title", "summary")) -> DataFrame:
@@ -96,15 +114,16 @@ def counts(vals: DataFrame, headline: str = "title") -> DataFrame:
 def ends(vals: DataFrame) -> DataFrame:
     """What each value's characters show: mark, broken, open, stop, its length, and the words of its end."""
     v = vals.select(
-        "key", "source", "field", plain(F.right("text", F.lit(TAIL))).alias("p"), F.right("text", F.lit(12)).alias("e"), F.right("text", F.lit(TAIL)).alias("t"),
+        "key", "source", "field", plain(F.col("text")).alias("p"), "text", F.rtrim("text", F.lit(" \t\r\n")).alias("e"),
         F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("digest"),
     )
     v = v.withColumn("tail", ending(F.col("p")))
-    broken = F.col("e").rlike(BROKEN) | ((F.instr("t", "<") > 0) & F.col("t").rlike(r"<[^<>]*$"))
+    broken = (F.col("e").endswith("�") | ((F.instr("e", "&") > 0) & F.right("e", F.lit(12)).rlike(BROKEN))) | in_markup(F.col("text"))
+    opened = functools.reduce(Column.__or__, [unclosed(F.col("p"), *x) for x in OPENED])
     v = v.select(
-        "key", "source", "field", has_mark(F.col("p")).alias("mark"), broken.alias("broken"), F.col("p").rlike(OPEN).alias("open"),
-        (F.right("p", F.lit(16)).rlike(STOP_END) | F.right("tail", F.lit(16)).rlike(STOP_END)).alias("stop"),
-        tokens(F.right("tail", F.lit(LAST_WORDS))).alias("r"), F.col("e").rlike(r"[\p{L},]\s+$").alias("blank"), "chars", "bytes", "digest",
+        "key", "source", "field", has_mark(F.col("p")).alias("mark"), broken.alias("broken"), opened.alias("open"), (stopped(F.col("p")) | stopped(F.col("tail"))).alias("stop"),
+        # Words don't reach across white space: the last three are in the last three stretches.
+        tokens(F.substring_index("tail", " ", -3)).alias("r"), ((F.col("e") != F.col("text")) & F.right("e", F.lit(1)).rlike(r"[\p{L},]")).alias("blank"), "chars", "bytes", "digest",
     )
     word = lambda k: F.coalesce(F.try_element_at("r", F.lit(-k)), F.lit(""))
     return v.withColumn("ab", F.concat_ws(" ", masked(word(3)), masked(word(2)))).withColumn("c", F.try_element_at("r", F.lit(-1))).drop("r")
@@ -122,12 +141,12 @@ def judged(rows: DataFrame, key: str = "raw_offset", source: str = "source_id",
     # Final trigrams, each once, against all counts; masked words share their counts.
     terminal = F.sum(F.col("stopped") + F.col("ended"))
     tri = stats.groupBy("ab", masked(F.col("c")).alias("mc")).agg(F.sum("inside").alias("inside"), terminal.alias("terminal"))
-    finals = v.where("c IS NOT NULL").select("ab", "c").distinct().withColumn("mc", masked(F.col("c")))
+    finals = stages.write(v.where("c IS NOT NULL").select("ab", "c").distinct().withColumn("mc", masked(F.col("c"))), "finals")
     letters = finals.where(F.col("c").rlike(r"^[\p{L}\p{M}'’]+$")).select("ab", "c")
     # A word that never goes on anywhere but begins longer ones is the rest of one.
-    word = stats.groupBy("c").agg(F.sum(F.col("inside") + F.col("stopped")).alias("vouched"), F.sum("inside").alias("goes_on"))
-    alone = letters.join(word.where("goes_on > 0"), "c", "left_anti")
-    rest = alone.join(_beginnings(word.where("vouched >= 2 AND goes_on > 0").select("c")), "c", "left_semi")
+    word = stages.write(stats.groupBy("c").agg(F.sum(F.col("inside") + F.col("stopped")).alias("vouched"), F.sum("inside").alias("goes_on")).where("goes_on > 0"), "words")
+    alone = letters.join(word, "c", "left_anti")
+    rest = alone.join(_beginnings(word.where("vouched >= 2").select("c")), "c", "left_semi")
     # So is a word known elsewhere that no text carries on or stops at after these two words, if longer ones that it begins stand there.
     unheard = letters.join(stats.where("inside + stopped > 0"), ["ab", "c"], "left_anti")
     there = stats.where("inside + stopped >= 2").join(unheard.select("ab").distinct(), "ab", "left_semi").select("ab", "c")

@@ -41,13 +41,14 @@ def test_cut_values(spark):
     whole = rows[0][2]
     cases = {
         1000: ("The mayor of Bexley approves the plan for a", None), 1001: (whole, "The union of Rudow questions the sale of old railw"), 1002: (whole + "…", ""),
+        1005: (whole, f'See <a href="https://bexley.example/{"wall/" * 60}" target'), 1006: (whole, f'See <a href="https://bexley.example/{"wall/" * 60}">the plan</a> for the wall. {whole}.'),
         1003: (whole, "A court in Lille approves the plan for a new harbour wall because of [...]"), 1004: (whole, "A court in Lille questions the sale of old railway wagons after a vote &#82"),
     }
     rows += [(k, "src", a, b, "x") for k, (a, b) in cases.items()] + [(2000, None, None, None, None), (2001, "src", "", " ", None), (2002, "src", whole + " (updated)", whole + ". (Bexley, Rudow)", "x")]
     rows += [rows[400]]  # repeated row
     df = spark.createDataFrame(rows, "raw_offset long, source_id string, title string, summary string, cut string")
     got = Counter(tuple(r) for r in truncation.truncated(df).collect())
-    assert got == Counter({(1000, "title"): 2, (1001, "summary"): 1, (1002, "title"): 1, (1003, "summary"): 1, (1004, "summary"): 1})
+    assert got == Counter({(1000, "title"): 2, (1001, "summary"): 1, (1002, "title"): 1, (1003, "summary"): 1, (1004, "summary"): 1, (1005, "summary"): 1})
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
