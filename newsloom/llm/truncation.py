@@ -12,6 +12,7 @@ pile up. All of it is SQL functions, joins and aggregates over all values.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,48 +34,55 @@ BROKEN = r"(?:&#?\w{0,8}|�)\s*$"
 OPENED = (("(", ")"), ("[", "]"), ("«", "»"), ("„", "“”"), ("「", "」"))
 #: Notes behind a whole text: bracketed notes, counters, signs, a word behind a dash.
 NOTES = r"(?:\s*(?:\([^()]*\)|\[[^\[\]]*\]|[*+]+|\s[–—-]\s\p{L}{2,8}))+\s*$"
-#: Words of plain letters are told first, for they are most of all; the others, numbers, and signs by themselves.
-TOKEN = r"\s*+([A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ӿ]++(?![\p{L}\p{M}'’])|\p{N}+|[\p{IsKatakana}ー]+|[\p{IsHan}\p{IsHiragana}]|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[^\s\p{L}\p{N}\p{M}])"
+TOKEN = r"\p{N}+|[\p{IsKatakana}ー]+|[\p{IsHan}\p{IsHiragana}]|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[^\s\p{L}\p{N}\p{M}]"
 STOP = "."
 
 
+def _any(test: Callable[[str], Column], signs: Iterable[str]) -> Column:
+    return functools.reduce(Column.__or__, [test(x) for x in signs])
+
+
+def _translated(text: Column, signs: str, into: str) -> Column:
+    """``translate``, which looks at every character, only where one of the signs occurs at all."""
+    return F.when(_any(text.contains, signs), F.translate(text, signs, into)).otherwise(text)
+
+
 def plain(text: Column) -> Column:
     """The text without markup and entities of white space."""
-    t = F.when(F.instr(text, "<") > 0, F.regexp_replace(text, r"<[^<>]*>", " ")).otherwise(text)
-    t = F.when(F.instr(t, "&") > 0, F.regexp_replace(t, r"&nbsp;|&#160;", " ")).otherwise(t)
-    return F.rtrim(F.translate(t, "\u00a0\u3000\t\r\n", "     "))
+    t = F.when(text.contains("<"), F.regexp_replace(text, r"<[^<>]*>", " ")).otherwise(text)
+    t = F.when(t.contains("&"), F.regexp_replace(t, r"&nbsp;|&#160;", " ")).otherwise(t)
+    return F.rtrim(_translated(t, "\u00a0\u3000\t\r\n", "     "))
 
 
 def has_mark(p: Column) -> Column:
-    return F.right(p, F.lit(1)).isin("…", ".", "]", ")", ";") & F.right(p, F.lit(16)).rlike(CUT_MARK)
+    return _any(p.endswith, ("…", "...", "]", ")", ";")) & F.right(p, F.lit(16)).rlike(CUT_MARK)
 
 
 def ending(p: Column) -> Column:
     """What ends the text once cut marks or notes behind it are taken off."""
-    t = F.when(has_mark(p), F.regexp_replace(p, CUT_MARK, "")).otherwise(p)
-    noted = F.right(t, F.lit(1)).isin(")", "]", "*", "+") | F.right(t, F.lit(12)).rlike(r"\s[–—-]\s")
-    return F.rtrim(F.when(noted, F.regexp_replace(t, NOTES, "")).otherwise(t))
+    t = F.when(has_mark(p), F.rtrim(F.regexp_replace(p, CUT_MARK, ""))).otherwise(p)
+    noted = _any(t.endswith, ")]*+") | (_any(t.contains, (" – ", " — ", " - ")) & F.right(t, F.lit(12)).rlike(r"\s[–—-]\s"))
+    return F.when(noted, F.rtrim(F.regexp_replace(t, NOTES, ""))).otherwise(t)
 
 
 def stopped(p: Column) -> Column:
     """Whether a stop ends the text, whatever closes behind it."""
-    return F.right(F.rtrim(p, F.lit(CLOSERS)), F.lit(1)).isin(*STOPS)
+    return _any(p.endswith, STOPS) | (_any(p.endswith, CLOSERS) & _any(F.rtrim(p, F.lit(CLOSERS)).endswith, STOPS))
 
 
 def unclosed(p: Column, opens: str, closes: str) -> Column:
     """Whether no closing sign follows the last opening one."""
-    rest = F.substring_index(p, opens, -1)
-    return (F.instr(p, opens) > 0) & ~F.greatest(*[F.instr(rest, c) for c in (closes if len(closes) > 1 else closes * 2)]).cast("boolean")
+    return p.contains(opens) & ~_any(F.substring_index(p, opens, -1).contains, closes)
 
 
 def in_markup(text: Column) -> Column:
     """Whether the text ends inside a tag, however long."""
-    return (F.instr(text, "<") > 0) & (F.instr(F.substring_index(text, "<", -1), ">") == 0)
+    return text.contains("<") & ~F.substring_index(text, "<", -1).contains(">")
 
 
 def tokens(text: Column) -> Column:
     """Words, numbers, signs; Japanese by character, katakana in runs; every stop is the same."""
-    return F.regexp_extract_all(F.translate(text, "!?。！？", "....."), F.lit(TOKEN), F.lit(1))
+    return F.regexp_extract_all(_translated(text, "!?。！？", "....."), F.lit(TOKEN), F.lit(0))
 
 
 def masked(x: Column) -> Column:
@@ -101,14 +109,15 @@ def counts(vals: DataFrame, headline: str = "title") -> DataFrame:
     left out.
     """
     t = vals.select("field", "text").distinct().withColumn("p", plain(F.col("text")))
-    t = t.select("field", (has_mark(F.col("p")) | F.right("text", F.lit(12)).rlike(BROKEN)).alias("cut"), tokens(ending(F.col("p"))).alias("r"))
+    t = t.select("field", (has_mark(F.col("p")) | (_any(F.col("text").contains, "&�") & F.right("text", F.lit(12)).rlike(BROKEN))).alias("cut"), tokens(ending(F.col("p"))).alias("r"))
     # Each word beside the two before it and the one after it.
     pad = F.concat(F.array(F.lit(""), F.lit("")), "r")
     zipped = F.arrays_zip(pad.alias("a"), F.slice(pad, 2, F.size("r") + 1).alias("b"), F.col("r").alias("c"), F.slice("r", 2, F.size("r")).alias("d"))
     g = t.select("field", "cut", F.inline(zipped)).toDF("field", "cut", "a", "b", "c", "d").where(f"c IS NOT NULL AND c <> '{STOP}'")
     end = F.when(F.col("d") == STOP, F.lit(3)).when(F.col("d").isNotNull(), F.lit(0)).when((F.col("field") == headline) & ~F.col("cut"), F.lit(1))
-    g = g.select(F.concat_ws(" ", masked(F.col("a")), masked(F.col("b"))).alias("ab"), "c", end.alias("e")).where("e IS NOT NULL")
-    return g.groupBy("ab", "c").agg(*[F.count_if(F.col("e") == k).alias(n) for n, k in (("inside", 0), ("stopped", 3), ("ended", 1))])
+    g = g.select(masked(F.col("a")).alias("a"), masked(F.col("b")).alias("b"), "c", end.alias("e")).where("e IS NOT NULL")
+    n = g.groupBy("a", "b", "c").agg(*[F.count_if(F.col("e") == k).alias(n) for n, k in (("inside", 0), ("stopped", 3), ("ended", 1))])
+    return n.select(F.concat_ws(" ", "a", "b").alias("ab"), "c", "inside", "stopped", "ended")
 
 
 def ends(vals: DataFrame) -> DataFrame:
@@ -118,10 +127,10 @@ def ends(vals: DataFrame) -> DataFrame:
         F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("digest"),
     )
     v = v.withColumn("tail", ending(F.col("p")))
-    broken = (F.col("e").endswith("�") | ((F.instr("e", "&") > 0) & F.right("e", F.lit(12)).rlike(BROKEN))) | in_markup(F.col("text"))
-    opened = functools.reduce(Column.__or__, [unclosed(F.col("p"), *x) for x in OPENED])
+    broken = F.col("e").endswith("�") | (F.col("e").contains("&") & F.right("e", F.lit(12)).rlike(BROKEN)) | in_markup(F.col("text"))
+    opened = _any(lambda x: unclosed(F.col("p"), *x), OPENED)
     v = v.select(
-        "key", "source", "field", has_mark(F.col("p")).alias("mark"), broken.alias("broken"), opened.alias("open"), (stopped(F.col("p")) | stopped(F.col("tail"))).alias("stop"),
+        "key", "source", "field", has_mark(F.col("p")).alias("mark"), broken.alias("broken"), opened.alias("open"), (stopped(F.col("p")) | ((F.col("tail") != F.col("p")) & stopped(F.col("tail")))).alias("stop"),
         # Words don't reach across white space: the last three are in the last three stretches.
         tokens(F.substring_index("tail", " ", -3)).alias("r"), ((F.col("e") != F.col("text")) & F.right("e", F.lit(1)).rlike(r"[\p{L},]")).alias("blank"), "chars", "bytes", "digest",
     )
