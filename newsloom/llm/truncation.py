@@ -47,22 +47,24 @@ def _translated(text: Column, signs: str, into: str) -> Column:
     return F.when(_any(text.contains, signs), F.translate(text, signs, into)).otherwise(text)
 
 
-def plain(text: Column) -> Column:
-    """The text without markup and entities of white space."""
-    t = F.when(text.contains("<"), F.regexp_replace(text, r"<[^<>]*>", " ")).otherwise(text)
-    t = F.when(t.contains("&"), F.regexp_replace(t, r"&nbsp;|&#160;", " ")).otherwise(t)
-    return F.rtrim(_translated(t, "\u00a0\u3000\t\r\n", "     "))
+def with_plain(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the text without markup and entities of white space. Step by step, so that no step is computed again for each of its uses."""
+    c = F.col(out)
+    df = df.withColumn(out, F.when(F.col(text).contains("<"), F.regexp_replace(text, r"<[^<>]*>", " ")).otherwise(F.col(text)))
+    df = df.withColumn(out, F.when(c.contains("&"), F.regexp_replace(out, r"&nbsp;|&#160;", " ")).otherwise(c))
+    return df.withColumn(out, _translated(c, " 　\t\r\n", "     ")).withColumn(out, F.rtrim(out))
 
 
 def has_mark(p: Column) -> Column:
     return _any(p.endswith, ("…", "...", "]", ")", ";")) & F.right(p, F.lit(16)).rlike(CUT_MARK)
 
 
-def ending(p: Column) -> Column:
-    """What ends the text once cut marks or notes behind it are taken off."""
-    t = F.when(has_mark(p), F.rtrim(F.regexp_replace(p, CUT_MARK, ""))).otherwise(p)
-    noted = _any(t.endswith, ")]*+") | (_any(t.contains, (" – ", " — ", " - ")) & F.right(t, F.lit(12)).rlike(r"\s[–—-]\s"))
-    return F.when(noted, F.rtrim(F.regexp_replace(t, NOTES, ""))).otherwise(t)
+def with_ending(df: DataFrame, p: str, out: str) -> DataFrame:
+    """Adds what ends the text once cut marks or notes behind it are taken off."""
+    c = F.col(out)
+    df = df.withColumn(out, F.when(has_mark(F.col(p)), F.rtrim(F.regexp_replace(p, CUT_MARK, ""))).otherwise(F.col(p)))
+    noted = _any(c.endswith, ")]*+") | (_any(c.contains, (" – ", " — ", " - ")) & F.right(out, F.lit(12)).rlike(r"\s[–—-]\s"))
+    return df.withColumn(out, F.when(noted, F.rtrim(F.regexp_replace(out, NOTES, ""))).otherwise(c))
 
 
 def stopped(p: Column) -> Column:
@@ -80,9 +82,9 @@ def in_markup(text: Column) -> Column:
     return text.contains("<") & ~F.substring_index(text, "<", -1).contains(">")
 
 
-def tokens(text: Column) -> Column:
-    """Words, numbers, signs; Japanese by character, katakana in runs; every stop is the same."""
-    return F.regexp_extract_all(_translated(text, "!?。！？", "....."), F.lit(TOKEN), F.lit(0))
+def with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds words, numbers, signs; Japanese by character, katakana in runs; every stop is the same."""
+    return df.withColumn(out, _translated(F.col(text), "!?。！？", ".....")).withColumn(out, F.regexp_extract_all(out, F.lit(TOKEN), F.lit(0)))
 
 
 def masked(x: Column) -> Column:
@@ -108,8 +110,9 @@ def counts(vals: DataFrame, headline: str = "title") -> DataFrame:
     its end. Ends of other fields and behind cut marks tell nothing and are
     left out.
     """
-    t = vals.select("field", "text").distinct().withColumn("p", plain(F.col("text")))
-    t = t.select("field", (has_mark(F.col("p")) | (_any(F.col("text").contains, "&�") & F.right("text", F.lit(12)).rlike(BROKEN))).alias("cut"), tokens(ending(F.col("p"))).alias("r"))
+    t = with_ending(with_plain(vals.select("field", "text").distinct(), "text", "p"), "p", "tail")
+    cut = has_mark(F.col("p")) | (_any(F.col("text").contains, "&�") & F.right("text", F.lit(12)).rlike(BROKEN))
+    t = with_tokens(t.select("field", cut.alias("cut"), "tail"), "tail", "r")
     # Each word beside the two before it and the one after it.
     pad = F.concat(F.array(F.lit(""), F.lit("")), "r")
     zipped = F.arrays_zip(pad.alias("a"), F.slice(pad, 2, F.size("r") + 1).alias("b"), F.col("r").alias("c"), F.slice("r", 2, F.size("r")).alias("d"))
@@ -123,19 +126,19 @@ def counts(vals: DataFrame, headline: str = "title") -> DataFrame:
 def ends(vals: DataFrame) -> DataFrame:
     """What each value's characters show: mark, broken, open, stop, its length, and the words of its end."""
     v = vals.select(
-        "key", "source", "field", plain(F.col("text")).alias("p"), "text", F.rtrim("text", F.lit(" \t\r\n")).alias("e"),
-        F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("digest"),
-    )
-    v = v.withColumn("tail", ending(F.col("p")))
+        "*", F.rtrim("text", F.lit(" \t\r\n")).alias("e"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("digest")
+    )
+    v = with_ending(with_plain(v, "text", "p"), "p", "tail")
     broken = F.col("e").endswith("�") | (F.col("e").contains("&") & F.right("e", F.lit(12)).rlike(BROKEN)) | in_markup(F.col("text"))
     opened = _any(lambda x: unclosed(F.col("p"), *x), OPENED)
     v = v.select(
         "key", "source", "field", has_mark(F.col("p")).alias("mark"), broken.alias("broken"), opened.alias("open"), (stopped(F.col("p")) | ((F.col("tail") != F.col("p")) & stopped(F.col("tail")))).alias("stop"),
         # Words don't reach across white space: the last three are in the last three stretches.
-        tokens(F.substring_index("tail", " ", -3)).alias("r"), ((F.col("e") != F.col("text")) & F.right("e", F.lit(1)).rlike(r"[\p{L},]")).alias("blank"), "chars", "bytes", "digest",
+        F.substring_index("tail", " ", -3).alias("last"), ((F.col("e") != F.col("text")) & F.right("e", F.lit(1)).rlike(r"[\p{L},]")).alias("blank"), "chars", "bytes", "digest",
     )
+    v = with_tokens(v, "last", "r")
     word = lambda k: F.coalesce(F.try_element_at("r", F.lit(-k)), F.lit(""))
-    return v.withColumn("ab", F.concat_ws(" ", masked(word(3)), masked(word(2)))).withColumn("c", F.try_element_at("r", F.lit(-1))).drop("r")
+    return v.withColumn("ab", F.concat_ws(" ", masked(word(3)), masked(word(2)))).withColumn("c", F.try_element_at("r", F.lit(-1))).drop("r", "last")
 
 
 def judged(rows: DataFrame, key: str = "raw_offset", source: str = "source_id", fields: tuple[str, ...] = ("title", "summary")) -> DataFrame:
