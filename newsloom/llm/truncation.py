@@ -28,6 +28,7 @@ PILE, PILE_LEAST, AROUND = 6.0, 8, 5
 
 #: Marks of a cut; what closes after a stop; stops; brackets that are opened and what closes each.
 CUT_MARK = r"(?:\s*(?:…|\.\.\.+|\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|\(more\)|&hellip;|&#8230;))+\s*$"
+BLANKS = " \t\r\n"
 CLOSERS = " \"'”’»›）)]」』*+"
 STOPS = ".!?…。！？"
 BROKEN = r"(?:&#?\w{0,8}|�)\s*$"
@@ -104,7 +105,7 @@ def values(rows: DataFrame, key: str = "raw_offset", source: str = "source_id",
 
 
 def counts(vals: DataFrame, headline: str = "title") -> DataFrame:
-    """(ab, c, inside, stopped, ended): how often word c follows the two words ab and goes on, and how often a stop or a headline's end follows it.
+    """(ab, c, inside, stopped, ended): how often word c follows the two words whose hash is ab and goes on, and how often a stop or a headline's end follows it.
 
     Each different text counts once, so copies of a cut text don't vouch for
     its end. Ends of other fields and behind cut marks tell nothing and are
@@ -118,15 +119,14 @@ def counts(vals: DataFrame, headline: str = "title") -> DataFrame:
     zipped = F.arrays_zip(pad.alias("a"), F.slice(pad, 2, F.size("r") + 1).alias("b"), F.col("r").alias("c"), F.slice("r", 2, F.size("r")).alias("d"))
     g = t.select("field", "cut", F.inline(zipped)).toDF("field", "cut", "a", "b", "c", "d").where(f"c IS NOT NULL AND c <> '{STOP}'")
     end = F.when(F.col("d") == STOP, F.lit(3)).when(F.col("d").isNotNull(), F.lit(0)).when((F.col("field") == headline) & ~F.col("cut"), F.lit(1))
-    g = g.select(masked(F.col("a")).alias("a"), masked(F.col("b")).alias("b"), "c", end.alias("e")).where("e IS NOT NULL")
-    n = g.groupBy("a", "b", "c").agg(*[F.count_if(F.col("e") == k).alias(n) for n, k in (("inside", 0), ("stopped", 3), ("ended", 1))])
-    return n.select(F.concat_ws(" ", "a", "b").alias("ab"), "c", "inside", "stopped", "ended")
+    g = g.select(F.xxhash64(masked(F.col("a")), masked(F.col("b"))).alias("ab"), "c", end.alias("e")).where("e IS NOT NULL")
+    return g.groupBy("ab", "c").agg(*[F.count_if(F.col("e") == k).alias(n) for n, k in (("inside", 0), ("stopped", 3), ("ended", 1))])
 
 
 def ends(vals: DataFrame) -> DataFrame:
     """What each value's characters show: mark, broken, open, stop, its length, and the words of its end."""
     v = vals.select(
-        "*", F.rtrim("text", F.lit(" \t\r\n")).alias("e"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("digest")
+        "*", F.when(_any(F.col("text").endswith, BLANKS), F.rtrim("text", F.lit(BLANKS))).otherwise(F.col("text")).alias("e"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("digest")
     )
     v = with_ending(with_plain(v, "text", "p"), "p", "tail")
     broken = F.col("e").endswith("�") | (F.col("e").contains("&") & F.right("e", F.lit(12)).rlike(BROKEN)) | in_markup(F.col("text"))
@@ -138,7 +138,7 @@ def ends(vals: DataFrame) -> DataFrame:
     )
     v = with_tokens(v, "last", "r")
     word = lambda k: F.coalesce(F.try_element_at("r", F.lit(-k)), F.lit(""))
-    return v.withColumn("ab", F.concat_ws(" ", masked(word(3)), masked(word(2)))).withColumn("c", F.try_element_at("r", F.lit(-1))).drop("r", "last")
+    return v.withColumn("ab", F.xxhash64(masked(word(3)), masked(word(2)))).withColumn("c", F.try_element_at("r", F.lit(-1))).drop("r", "last")
 
 
 def judged(rows: DataFrame, key: str = "raw_offset", source: str = "source_id", fields: tuple[str, ...] = ("title", "summary")) -> DataFrame:
