@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.session import Stages
 
 
-def roots(links: DataFrame, child: str, parent: str, rounds: int = 64) -> DataFrame:
+def roots(links: DataFrame, child: str, parent: str) -> DataFrame:
     """(child, root) by following parents to the end: pointers jump to their target's target, so chains of n take log n rounds.
 
-    Each child has one parent, the lowest if several. A cycle never ends and
-    is refused.
+    Each child has one parent, the lowest if several. A circle has no end: the
+    lowest of those that run in it is their root, and of all that lead into it.
     """
     stages = Stages(links.sparkSession, "roots")
     one = links.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).groupBy(F.col(child).alias("c")).agg(F.min(parent).alias("p"))
-    cur = stages.write(one, "r0")
+    # ``low`` is the lowest of the nodes from c up to p, which are as many as the jumps have passed.
+    cur = stages.write(one.withColumn("low", F.col("c")), "r0")
+    rounds = max(1, math.ceil(math.log2(cur.count() + 1)) + 1)
     for i in range(1, rounds + 1):
-        up = cur.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        new = stages.write(cur.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), f"r{i}")
-        if not new.where("moved").limit(1).count():
-            return new.select(F.col("c").alias(child), F.col("p").alias("root"))
-        cur = new.select("c", "p")
-    raise ValueError("the links run in a circle")
+        up = cur.select(F.col("c").alias("p"), F.col("p").alias("pp"), F.col("low").alias("plow"))
+        new = cur.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), F.least("low", "plow").alias("low"), F.col("pp").isNotNull().alias("moved"))
+        cur = stages.write(new, f"r{i}")
+        if not cur.where("moved").limit(1).count():
+            break
+    ring = cur.select(F.col("c").alias("p"), F.col("low").alias("ring"))
+    return cur.join(ring, "p", "left").select(F.col("c").alias(child), F.coalesce("ring", "p").alias("root"))
 
 
 def edges(similar: DataFrame, lineage: DataFrame, nodes: DataFrame) -> DataFrame:

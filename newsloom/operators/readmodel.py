@@ -7,6 +7,8 @@ intervals ``[from_offset, to_offset)``.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +59,17 @@ def valid(at: int | Column) -> Column:
     return (F.col("from_offset") <= at) & (F.col("to_offset").isNull() | (F.col("to_offset") > at))
 
 
-def memberships(events: DataFrame, rounds: int = 64) -> DataFrame:
+def memberships(events: DataFrame) -> DataFrame:
     """article_id, story_id, from_offset, to_offset, late, is_duplicate, score.
 
     An article joins by ``created`` (as the seed) or ``article_added``. When
     its story is merged, the membership ends and a new one opens in the
-    target; when it is split, it ends. Chains of merges are followed level by
-    level, each level a join over what moved in the level before.
+    target; when it is split, it ends and opens in the child whose
+    ``article_ids`` name it, if one does. Chains are followed level by level,
+    each a join over what moved in the level before; a level lies later in the
+    log than the one before, so they come to an end. Of two memberships that
+    open alike, the one that opens first in the log counts, as for a child's
+    seed that the split has moved already.
     """
     opened = events.where(F.col("kind").isin("created", "article_added")).select(
         F.when(F.col("kind") == "created", field("seed_article_id")).otherwise(field("article_id")).alias("article_id"), "story_id", F.col("input_offset").alias("from_offset"),
@@ -72,38 +78,48 @@ def memberships(events: DataFrame, rounds: int = 64) -> DataFrame:
     ).where("article_id IS NOT NULL AND story_id IS NOT NULL")
     sources = F.from_json(F.get_json_object("payload", "$.source_story_ids"), "array<string>")
     merged = events.where("kind = 'merged'").select(F.explode(sources).alias("s"), field("target_story_id").alias("target"), F.col("pos").alias("end_pos"), F.col("input_offset").alias("end_offset"))
-    split = events.where("kind = 'split'").select(F.coalesce(field("parent_story_id"), "story_id").alias("s"), F.lit(None).cast("string").alias("target"), F.col("pos").alias("end_pos"), F.col("input_offset").alias("end_offset"))
+    parent = F.coalesce(field("parent_story_id"), "story_id").alias("s")
+    split = events.where("kind = 'split'").select(parent, F.lit(None).cast("string").alias("target"), F.col("pos").alias("end_pos"), F.col("input_offset").alias("end_offset"))
+    children = F.from_json(F.get_json_object("payload", "$.children"), "array<struct<story_id:string,article_ids:array<string>>>")
+    given = events.where("kind = 'split'").select(parent, F.col("pos").alias("end_pos"), F.inline(children).alias("child", "articles"))
+    given = given.select("s", "end_pos", "child", F.explode("articles").alias("article_id"))
     w = Window.partitionBy("s").orderBy("end_pos")
     ends = merged.unionByName(split).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
     stages = Stages(events.sparkSession, "memberships")
-    ends = stages.write(ends, "ends")
+    ends, given = stages.write(ends, "ends"), stages.write(given, "given")
     level, out = opened, None
-    for i in range(rounds):
-        placed = stages.write(level.join(ends, (F.col("story_id") == F.col("s")) & (F.col("end_pos") > F.col("from_pos")), "left").drop("s"), f"level{i}")
-        done = placed.select("article_id", "story_id", "from_offset", F.col("end_offset").alias("to_offset"), "late", "is_duplicate", "score")
+    for i in itertools.count():
+        placed = level.join(ends, (F.col("story_id") == F.col("s")) & (F.col("end_pos") > F.col("from_pos")), "left").drop("s")
+        placed = stages.write(placed.join(given.withColumnRenamed("s", "story_id"), ["story_id", "end_pos", "article_id"], "left"), f"level{i}")
+        done = placed.select("article_id", "story_id", "from_offset", "from_pos", F.col("end_offset").alias("to_offset"), "late", "is_duplicate", "score")
         out = done if out is None else out.unionByName(done)
-        moved = placed.where("target IS NOT NULL").select("article_id", F.col("target").alias("story_id"), F.col("end_offset").alias("from_offset"), F.col("end_pos").alias("from_pos"), "late", "is_duplicate", "score")
+        to = F.coalesce("target", "child")
+        moved = placed.where(to.isNotNull()).select("article_id", to.alias("story_id"), F.col("end_offset").alias("from_offset"), F.col("end_pos").alias("from_pos"), "late", "is_duplicate", "score")
         if not moved.limit(1).count():
-            return out
+            break
         level = moved
-    raise RuntimeError("merges form a longer chain than the given rounds")
+    rest = F.struct("to_offset", "late", "is_duplicate", "score")
+    one = out.groupBy("article_id", "story_id", "from_offset").agg(F.min_by(rest, "from_pos").alias("m"))
+    return one.select("article_id", "story_id", "from_offset", "m.*")
 
 
-def story_cards(st: DataFrame, mem: DataFrame, articles: DataFrame, at: int, min_sources: int = 1, langs: list[str] | None = None, sort: str = "sources", limit: int = 50) -> DataFrame:
-    """The ranked stories as of a position: alive then, with counts over memberships valid then.
+def story_cards(events: DataFrame, mem: DataFrame, articles: DataFrame, at: int, min_sources: int = 1, langs: list[str] | None = None, sort: str = "sources", limit: int = 50) -> DataFrame:
+    """The ranked stories as of a position: alive then, with the headline and the last event of then, and counts over memberships valid then.
 
-    ``sort``: sources, size or recent. Stories without any valid membership
-    are not shown.
+    ``sort``: sources, size or recent, which is by the last event. Stories
+    without any valid membership are not shown.
     """
-    then = st.where(alive(at))
+    past = events.where(F.col("input_offset") <= at)
+    then = stories(past).where(alive(at)).select("story_id", "headline", "created_offset")
     m = mem.where(valid(at)).join(then.select("story_id"), "story_id", "left_semi").join(articles.select(F.col("id").alias("article_id"), "source_id", "lang", "published_at_ms"), "article_id")
     c = m.groupBy("story_id").agg(
         F.count("*").alias("articles"), F.countDistinct("source_id").alias("sources"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.max("published_at_ms").alias("last_ms")
     )
-    r = then.select("story_id", "headline", "created_offset").join(c, "story_id").where(F.col("sources") >= min_sources)
+    last = past.groupBy("story_id").agg(F.max("input_offset").alias("updated_offset"))
+    r = then.join(c, "story_id").join(last, "story_id").where(F.col("sources") >= min_sources)
     if langs:
         r = r.where(F.arrays_overlap(F.split("langs", ","), F.array(*map(F.lit, langs))))
-    order = {"sources": ["sources", "articles"], "size": ["articles", "sources"], "recent": ["last_ms", "sources"]}[sort]
+    order = {"sources": ["sources", "articles", "updated_offset"], "size": ["articles", "sources", "updated_offset"], "recent": ["updated_offset"]}[sort]
     return r.orderBy(*[F.desc(x) for x in order], "story_id").limit(limit)
 
 
@@ -114,11 +130,11 @@ def top_sources(mem: DataFrame, articles: DataFrame, at: int, top: int = 3) -> D
 
 
 def activity(mem: DataFrame, articles: DataFrame, at: int, ref_ms: int, hours: int = 24) -> DataFrame:
-    """Articles of each story in each of the last ``hours`` before ``ref_ms``, oldest first, zeros filled, as one text."""
+    """Articles of each story in each of the last ``hours`` before ``ref_ms``, oldest first, zeros filled, as one text; of every story with a valid membership."""
     m = mem.where(valid(at)).join(articles.select(F.col("id").alias("article_id"), "published_at_ms"), "article_id")
     ago = F.floor((F.lit(ref_ms) - F.col("published_at_ms")) / HOUR_MS).cast("int")
-    n = m.withColumn("ago", ago).where((F.col("ago") >= 0) & (F.col("ago") < hours)).groupBy("story_id", "ago").agg(F.count("*").alias("n"))
-    by = n.groupBy("story_id").agg(F.map_from_entries(F.collect_list(F.struct("ago", "n"))).alias("m"))
+    n = m.withColumn("ago", F.when(ago.between(0, hours - 1), ago)).groupBy("story_id", "ago").agg(F.count("*").alias("n"))
+    by = n.groupBy("story_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("ago").isNotNull(), F.struct("ago", "n")))).alias("m"))
     slots = F.transform(F.sequence(F.lit(hours - 1), F.lit(0)), lambda h: F.coalesce(F.try_element_at("m", h.cast("int")), F.lit(0)).cast("string"))
     return by.select("story_id", F.array_join(slots, ",").alias("activity"))
 

@@ -20,7 +20,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 def duplicate_roots(spark: SparkSession, d: str) -> DataFrame:
     """The original that each duplicate goes back to, over chains of copies."""
     dup = _log(spark, d).where("kind = 'article_added'").select(rm.field("article_id").alias("article_id"), rm.field("duplicate_of").alias("of")).where("of IS NOT NULL AND article_id <> of")
-    return graph.roots(dup.where("article_id > of"), "article_id", "of")
+    return graph.roots(dup, "article_id", "of")
 
 
 def lineage_roots(spark: SparkSession, d: str) -> DataFrame:
@@ -113,12 +113,13 @@ QUERIES = {
 
 from newsloom.plans.stories import _ART, _J, _LOG, _MEM, _ST  # noqa: E402
 
-_WALK = "w AS (SELECT c, p, 1 n FROM l UNION ALL SELECT w.c, l.p, n + 1 FROM w JOIN l ON l.c = w.p), r AS (SELECT c, arg_max(p, n) root FROM w GROUP BY 1)"
+_WALK = """w AS (SELECT c, p FROM l UNION SELECT w.c, l.p FROM w JOIN l ON l.c = w.p),
+r AS (SELECT c, coalesce(min(p) FILTER (WHERE p NOT IN (SELECT c FROM l)), min(p) FILTER (WHERE p IN (SELECT c FROM w WHERE c = p))) root FROM w GROUP BY 1)"""
 _R = "(3 + 4.4 * sqrt(greatest(n, 1)))"
 
 SQL = {
     "duplicate_roots": f"""WITH {_LOG}, d AS (SELECT {_J('article_id')} a, {_J('duplicate_of')} o FROM ev WHERE kind = 'article_added'),
-l AS (SELECT a c, min(o) p FROM d WHERE a > o GROUP BY 1), {_WALK} SELECT c article_id, root FROM r""",
+l AS (SELECT a c, min(o) p FROM d WHERE a <> o GROUP BY 1), {_WALK} SELECT c article_id, root FROM r""",
     "lineage_roots": f"""WITH {_LOG}, m AS (SELECT unnest(json_extract_string(payload, '$.source_story_ids[*]')) a, {_J('target_story_id')} o FROM ev WHERE kind = 'merged'),
 l AS (SELECT a c, min(o) p FROM m WHERE a <> o GROUP BY 1), {_WALK} SELECT c parent, root FROM r""",
     "story_graph": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) v FROM embeddings),

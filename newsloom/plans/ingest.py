@@ -10,9 +10,8 @@ from newsloom.functions import urls
 from newsloom.operators import delivery, lateness
 from newsloom.session import table
 
-#: Characters of a summary that are kept, as the reference does. SUMMARY_CHARS is what the SQL below was given and still cuts at.
-SUMMARY_LIMIT = 600
-SUMMARY_CHARS, MAX_AGE_MS, SAMPLE = 160, 72 * 3_600_000, 0.25
+#: Characters of a summary that are kept, age at which an article is refused, and share of addresses in the sample.
+SUMMARY_LIMIT, MAX_AGE_MS, SAMPLE = 600, 72 * 3_600_000, 0.25
 LANGS = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru")
 
 
@@ -169,7 +168,7 @@ _NORM = f"""n0 AS (
     {_CODE('a.lang')} hint, (SELECT lang FROM feed_sources f WHERE f.source_id = split_part(a.source_id, ':', 1)) conf, 'https://' || {_HOST('url')} || regexp_extract(url, '^https?://[^/]+(/.*)$', 1) url
   FROM articles_raw a),
 n AS (
-  SELECT * EXCLUDE (s0), CASE WHEN {_truncate('s0', SUMMARY_CHARS)} = title THEN '' ELSE {_truncate('s0', SUMMARY_CHARS)} END summary,
+  SELECT * EXCLUDE (s0), CASE WHEN {_truncate('s0', SUMMARY_LIMIT)} = title THEN '' ELSE {_truncate('s0', SUMMARY_LIMIT)} END summary,
     CASE WHEN conf IS NULL THEN coalesce(hint, 'und') ELSE conf END lang,
     CASE WHEN coalesce(title, '') = '' THEN 'missing_title' WHEN fetched_at_ms - event_ms > {MAX_AGE_MS} THEN 'too_old' ELSE 'accepted' END outcome FROM n0)"""
 
@@ -177,7 +176,7 @@ SQL = {
     "canonical_urls": rf"""WITH u AS (SELECT raw_offset, 'https://' || {_HOST('url')} || regexp_extract(url, '^https?://[^/]+(/[^?]*)', 1) || '?a=1&b=2' url FROM articles_raw)
 SELECT raw_offset, url, substr(sha256(url), 1, 32) id, {_HOST('url')} host FROM u""",
     "html_clean_text": f"SELECT raw_offset, {_clean('summary')} summary FROM articles_raw",
-    "truncated_summaries": f"WITH s AS (SELECT raw_offset, {_SQUEEZE('summary')} x FROM articles_raw) SELECT raw_offset, {_truncate('x', SUMMARY_CHARS)} summary FROM s",
+    "truncated_summaries": f"WITH s AS (SELECT raw_offset, {_SQUEEZE('summary')} x FROM articles_raw) SELECT raw_offset, {_truncate('x', SUMMARY_LIMIT)} summary FROM s",
     "articles_normalized": f"""WITH {_NORM} SELECT raw_offset, substr(sha256(url), 1, 32) id, source_id, url, title, summary, event_ms published_at_ms, fetched_at_ms, lang,
   event_ms IS DISTINCT FROM published_at_ms event_time_corrected FROM n WHERE outcome = 'accepted'""",
     "reject_outcomes": f"WITH {_NORM} SELECT source_kind, outcome, count(*) n FROM n GROUP BY 1, 2",

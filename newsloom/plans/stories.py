@@ -37,7 +37,7 @@ def membership_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 def _cards(spark: SparkSession, d: str, **options) -> DataFrame:
     e = _log(spark, d)
-    return rm.story_cards(rm.stories(e), rm.memberships(e), _articles(spark, d), AT, **options)
+    return rm.story_cards(e, rm.memberships(e), _articles(spark, d), AT, **options)
 
 
 def stories_as_of(spark: SparkSession, d: str) -> DataFrame:
@@ -146,36 +146,47 @@ opened AS (
   SELECT CASE kind WHEN 'created' THEN {_J('seed_article_id')} ELSE {_J('article_id')} END article_id, story_id, input_offset from_offset, pos from_pos,
     coalesce({_J('late')}::BOOLEAN, false) late, coalesce({_J('is_duplicate')}::BOOLEAN, false) is_duplicate
   FROM ev WHERE kind IN ('created', 'article_added') AND story_id IS NOT NULL),
+given AS (
+  SELECT s, end_pos, child.story_id child, unnest(child.article_ids) given_id FROM (
+    SELECT coalesce({_J('parent_story_id')}, story_id) s, pos end_pos,
+      unnest(from_json(json_extract(payload, '$.children'), '[{{"story_id": "VARCHAR", "article_ids": ["VARCHAR"]}}]')) child FROM ev WHERE kind = 'split')),
 walk AS (
-  SELECT o.*, e.end_offset to_offset, e.target, e.end_pos FROM opened o LEFT JOIN ends e ON e.s = o.story_id AND e.end_pos > o.from_pos WHERE o.article_id IS NOT NULL
-  UNION ALL SELECT w.article_id, w.target, w.to_offset, w.end_pos, w.late, w.is_duplicate, e.end_offset, e.target, e.end_pos
-  FROM walk w LEFT JOIN ends e ON e.s = w.target AND e.end_pos > w.end_pos WHERE w.target IS NOT NULL),
-mem AS (SELECT article_id, story_id, from_offset, to_offset, late, is_duplicate FROM walk)"""
+  SELECT o.*, e.end_offset to_offset, coalesce(e.target, g.child) target, e.end_pos FROM opened o LEFT JOIN ends e ON e.s = o.story_id AND e.end_pos > o.from_pos
+  LEFT JOIN given g ON g.s = e.s AND g.end_pos = e.end_pos AND g.given_id = o.article_id WHERE o.article_id IS NOT NULL
+  UNION ALL SELECT w.article_id, w.target, w.to_offset, w.end_pos, w.late, w.is_duplicate, e.end_offset, coalesce(e.target, g.child), e.end_pos
+  FROM walk w LEFT JOIN ends e ON e.s = w.target AND e.end_pos > w.end_pos LEFT JOIN given g ON g.s = e.s AND g.end_pos = e.end_pos AND g.given_id = w.article_id WHERE w.target IS NOT NULL),
+mem AS (
+  SELECT article_id, story_id, from_offset, to_offset, late, is_duplicate FROM walk
+  QUALIFY row_number() OVER (PARTITION BY article_id, story_id, from_offset ORDER BY from_pos) = 1)"""
 _ART = """art AS (
   SELECT article.id id, article.source_id source_id, article.lang lang, article.published_at_ms published_at_ms FROM articles_embedded WHERE article.id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY article.id ORDER BY input_offset) = 1)"""
 _BASE = f"WITH {_LOG}, {_ST}, {_MEM}, {_ART}"
 _VALID = f"(from_offset <= {AT} AND (to_offset IS NULL OR to_offset > {AT}))"
-_CARDS = f"""{_BASE}, alive AS (SELECT * FROM st WHERE created_offset <= {AT} AND (closed_offset IS NULL OR closed_offset > {AT})),
+_CARDS = f"""{_BASE}, past AS (SELECT * FROM ev WHERE input_offset <= {AT}),
+alive AS (SELECT story_id, created_offset FROM st WHERE created_offset <= {AT} AND (closed_offset IS NULL OR closed_offset > {AT})),
 c AS (
   SELECT story_id, count(*) articles, count(DISTINCT source_id) sources, coalesce(string_agg(DISTINCT lang, ',' ORDER BY lang), '') langs, max(published_at_ms) last_ms
-  FROM mem JOIN art ON art.id = article_id WHERE {_VALID} AND story_id IN (SELECT story_id FROM alive) GROUP BY 1)
-SELECT story_id, headline, created_offset, articles, sources, langs, last_ms FROM alive JOIN c USING (story_id)"""
+  FROM mem JOIN art ON art.id = article_id WHERE {_VALID} AND story_id IN (SELECT story_id FROM alive) GROUP BY 1),
+cards AS (
+  SELECT alive.*, articles, sources, langs, last_ms, (SELECT max(input_offset) FROM past e WHERE e.story_id = alive.story_id) updated_offset,
+    (SELECT max_by({_J('headline')}, pos) FROM past e WHERE e.story_id = alive.story_id AND kind IN ('created', 'updated')) headline FROM alive JOIN c USING (story_id))
+SELECT * FROM cards"""
 _WIDTH = "least((fetched_at_ms - lo) * {n} // greatest(hi - lo, 1), {n} - 1)".format(n=BUCKETS)
 
 SQL = {
     "story_table": f"WITH {_LOG}, {_ST} SELECT * FROM st",
     "membership_intervals": f"WITH {_LOG}, {_MEM} SELECT * FROM mem",
-    "stories_as_of": f"{_CARDS} WHERE sources >= 1 ORDER BY sources DESC, articles DESC, story_id LIMIT 50",
-    "stories_recent": f"{_CARDS} WHERE sources >= 2 ORDER BY last_ms DESC NULLS LAST, sources DESC, story_id LIMIT 50",
-    "stories_by_size": f"{_CARDS} WHERE sources >= 1 AND list_has_any(string_split(langs, ','), ['es', 'pt']) ORDER BY articles DESC, sources DESC, story_id LIMIT 50",
+    "stories_as_of": f"{_CARDS} WHERE sources >= 1 ORDER BY sources DESC, articles DESC, updated_offset DESC, story_id LIMIT 50",
+    "stories_recent": f"{_CARDS} WHERE sources >= 2 ORDER BY updated_offset DESC, story_id LIMIT 50",
+    "stories_by_size": f"{_CARDS} WHERE sources >= 1 AND list_has_any(string_split(langs, ','), ['es', 'pt']) ORDER BY articles DESC, sources DESC, updated_offset DESC, story_id LIMIT 50",
     "top_sources": f"""{_BASE}, n AS (SELECT story_id, source_id, count(*) n FROM mem JOIN art ON art.id = article_id WHERE {_VALID} GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY n DESC, source_id) rank FROM n) SELECT * FROM r WHERE rank <= 3""",
     "activity_24h": f"""{_BASE}, n AS (
   SELECT story_id, floor(({REF_MS} - published_at_ms) / 3600000) ago, count(*) n FROM mem JOIN art ON art.id = article_id
   WHERE {_VALID} AND published_at_ms IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT * FROM n WHERE ago BETWEEN 0 AND 23),
-f AS (SELECT s.story_id, t.h, coalesce(k.n, 0) n FROM (SELECT DISTINCT story_id FROM k) s CROSS JOIN range(24) t(h) LEFT JOIN k ON k.story_id = s.story_id AND k.ago = t.h)
+f AS (SELECT s.story_id, t.h, coalesce(k.n, 0) n FROM (SELECT DISTINCT story_id FROM mem JOIN art ON art.id = article_id WHERE {_VALID}) s CROSS JOIN range(24) t(h) LEFT JOIN k ON k.story_id = s.story_id AND k.ago = t.h)
 SELECT story_id, string_agg(n::VARCHAR, ',' ORDER BY h DESC) activity FROM f GROUP BY 1""",
     "timeline_buckets": f"""WITH {_LOG}, arr AS (SELECT input_offset, article.fetched_at_ms fetched_at_ms FROM articles_embedded WHERE article.fetched_at_ms IS NOT NULL),
 b AS (SELECT min(fetched_at_ms) lo, max(fetched_at_ms) hi FROM arr),

@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (a test session on one machine) a folder
-    of this machine is made and remembered in the session.
+    Only where the setting is absent and the session runs on one machine, as in
+    tests, a folder of this machine is made and remembered in the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("newsloom.local.stage", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("newsloom.local.stage", path)
     return path

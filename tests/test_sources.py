@@ -81,13 +81,15 @@ def test_membership_history(spark):
     j = [
         (0, 0, "created", "s1", '{"seed_article_id":"a","headline":"h1","lang":"en"}'), (1, 0, "article_added", "s1", '{"article_id":"b","late":true}'),
         (2, 0, "created", "s2", '{"seed_article_id":"c","headline":"h2","lang":"es"}'), (3, 0, "merged", "s1", '{"source_story_ids":["s2"],"target_story_id":"s1"}'),
-        (3, 1, "closed", "s2", '{"reason":"merged"}'), (4, 0, "split", "s1", '{"parent_story_id":"s1","children":[{"story_id":"k1"},{"story_id":"k2"}]}'),
+        (3, 1, "closed", "s2", '{"reason":"merged"}'), (4, 0, "split", "s1", '{"parent_story_id":"s1","children":[{"story_id":"k1","article_ids":["a","b"]},{"story_id":"k2","article_ids":["c"]}]}'),
+        (4, 1, "created", "k1", '{"seed_article_id":"a"}'), (4, 2, "created", "k2", '{"seed_article_id":"c"}'), (4, 3, "closed", "s1", '{"reason":"split"}'),
     ]
     df = spark.createDataFrame([(i, *x, 0, 0) for i, x in enumerate(j + j[:3])], LOG)
     e = rm.log(df)
     m = rm.memberships(e)
     at = lambda o: {(r.story_id, r["count"]) for r in m.where(rm.valid(o)).groupBy("story_id").count().collect()}
-    assert [at(o) for o in range(5)] == [{("s1", 1)}, {("s1", 2)}, {("s1", 2), ("s2", 1)}, {("s1", 3)}, set()]
+    assert [at(o) for o in range(5)] == [{("s1", 1)}, {("s1", 2)}, {("s1", 2), ("s2", 1)}, {("s1", 3)}, {("k1", 2), ("k2", 1)}]
+    assert [r.late for r in m.where("story_id = 'k1' AND article_id = 'b'").collect()] == [True]
     assert {(r.parent, r.child) for r in rm.lineage(e).collect()} == {("s2", "s1"), ("s1", "k1"), ("s1", "k2")}
     assert rm.events_after(e, 2, 0, 2).count() == 2
     empty = rm.log(spark.createDataFrame([], LOG))
