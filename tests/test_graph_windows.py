@@ -1,6 +1,5 @@
 """Graph bookkeeping and streams by event time."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import graph, vectors
