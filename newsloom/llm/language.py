@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from newsloom.session import spread
 
 ORDER = 5
-#: Labelled sentences that the models are trained on at most; beyond that those with the lowest hash are taken.
+#: Labelled sentences that the models are trained on; of more, about as many with the lowest hash are taken.
 MAX_SAMPLES = 20_000
 #: Rows of the corpus with a label that the models agree with which they are trained on as well, those with the lowest hash.
 LABELLED_ROWS = 6_000
@@ -149,21 +149,27 @@ def code_lengths(m: Models, words: list[str]) -> np.ndarray:
 
 
 def models_of(samples: DataFrame, rows: DataFrame | None = None, lang: str = "lang", text: str = "text", most: int = MAX_SAMPLES, most_rows: int = LABELLED_ROWS) -> Models:
-    """Models trained on at most ``most`` labelled sentences, and, where rows with title, summary and label are given,
-    once more with those of at most ``most_rows`` rows whose label the first models confirm. Rows without label or text are left out."""
+    """Models trained on about ``most`` labelled sentences at most, and, where rows with title, summary and label are given,
+    once more with those of about ``most_rows`` rows whose label the first models confirm. Rows without label or text are left out."""
     sure = samples.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
-    pairs = [(r[0], r[1]) for r in sure.orderBy(F.xxhash64(text), text, lang).limit(most).collect()]
+    pairs = [(r[0], r[1]) for r in _drawn(sure, F.xxhash64(text, lang), most).collect()]
     m = train(pairs)
     if rows is None or not m.langs:
         return m
     r = rows.select(label_code("lang").alias("code"), "title", "summary").where(F.col("code").isin(m.langs) & F.col("title").isNotNull())
-    drawn = r.orderBy(F.xxhash64("title", "summary"), "title", "summary", "code").limit(most_rows).collect()
+    drawn = _drawn(r, F.xxhash64("title", "summary"), most_rows).collect()
     for x, (main, langs, _) in zip(drawn, score(m, [(x.title, x.summary) for x in drawn])):
         if main == x.code and len(langs) == 1:
             pairs += [(x.code, t) for _, t in segments(x.title, x.summary)]
     return train(pairs)
 
 
+def _drawn(df: DataFrame, by: Column, most: int) -> DataFrame:
+    """About ``most`` rows, or all of fewer: those below a threshold of a hash, so that tasks send no more than what is drawn."""
+    share = min(1.0, most / max(1, df.count()))
+    return df.where(F.pmod(by, F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def segments(title: str | None, summary: str | None) -> list[tuple[str, str]]:
     """(field, text) of each headline and sentence."""
     out = [("title", p) for p in _SENTENCE.split(_MARKUP.sub(" ", title)) if p.strip()] if title else []

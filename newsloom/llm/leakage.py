@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
@@ -24,7 +24,7 @@ from newsloom.session import spread
 
 #: Words of an item in a row that count as leaked.
 WORDS = 12
-#: Bytes of item text that one automaton may hold; more items make more automata, each passed over the corpus.
+#: Bytes of item text that one automaton may hold, but for one item that has more; more items make more automata, which each document passes one after another.
 BLOCK_BYTES = 8_000_000
 
 _DROP = regex.compile(r"[\p{M}\p{Cf}]+")
@@ -140,16 +140,20 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = WORDS, key: str = "doc
     run), ``covered`` (words of the document under such runs with any item),
     ``words`` (of the document). Null, empty or short texts on either side
     share nothing; repeated rows count each. Items are packed into automata of
-    at most ``block_bytes`` of text; a larger test set is passed over the
-    corpus block by block, so what is shipped to the workers is bounded.
+    at most ``block_bytes`` of text, so what is shipped to the workers is
+    bounded; the corpus is read once, and each document passes them all.
     """
-    spark = docs.sparkSession
-    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    out = None
-    for shipped in _shipments(spark, items, least, item_key, item_text, block_bytes):
-        part = spread(docs.select(key, text)).mapInArrow(_scanner(shipped, least, key, item_key, items.schema[item_key].dataType), f"`{key}` {kind}, `{item_key}` {item_kind}, longest int, covered int, words int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kind, item_type = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType
+    shipped = list(_shipments(docs.sparkSession, items, least, item_key, item_text, block_bytes))
+    t = spread(docs.select(key, text))
+    found = f"found array<struct<item:{item_type.simpleString()},longest:int>>"
+    for i, block in enumerate(shipped):
+        if i == len(shipped) - 1:
+            schema = f"`{key}` {kind}, `{item_key}` {item_type.simpleString()}, longest int, covered int, words int"
+        else:
+            schema = f"`{key}` {kind}, `{text}` string, {found}, runs array<int>"
+        t = t.mapInArrow(_scanner(block, least, key, text, item_key, item_type, i == len(shipped) - 1), schema)
+    return t
 
 
 _AUTOMATA: dict[tuple, SuffixAutomaton] = {}
@@ -157,11 +161,16 @@ _AUTOMATA: dict[tuple, SuffixAutomaton] = {}
 
 def _shipments(spark, items: DataFrame, least: int, item_key: str, item_text: str, block_bytes: int) -> Iterator:
     """The words of the items, as broadcasts of at most ``block_bytes`` of text."""
-    total = items.agg(F.sum(F.coalesce(F.octet_length(item_text), F.lit(0)))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    numbered = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t"), F.pmod(F.xxhash64(item_key), F.lit(blocks)).alias("b"))
-    for b in range(blocks):
-        rows = numbered.where((F.col("b") == b) & F.col("t").isNotNull() & F.col("k").isNotNull()).collect()
+    size = F.coalesce(F.octet_length(item_text), F.lit(0))
+    total = items.agg(F.sum(size)).first()[0] or 0
+    # Within groups of some hundred blocks items fill one block after another.
+    groups = max(1, int(total) // (256 * block_bytes))
+    numbered = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).alias("k"), F.col(item_text).alias("t"), F.pmod(F.xxhash64(item_key), F.lit(groups)).alias("g"), size.alias("n"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("k", "t").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = numbered.withColumn("b", F.floor(F.coalesce(before, F.lit(0)) / block_bytes))
+    blocks = sorted(tuple(r) for r in numbered.select("g", "b").distinct().collect()) or [(0, 0)]
+    for g, b in blocks:
+        rows = numbered.where((F.col("g") == g) & (F.col("b") == b)).select("k", "t").collect()
         yield spark.sparkContext.broadcast([(r.k, ws) for r in rows if len(ws := words(r.t)) >= least])
 
 
@@ -223,8 +232,10 @@ def _remover(longest: int, coverage: float, key: str, text: str):
     return run
 
 
-def _scanner(shipped, least: int, key: str, item_key: str, item_type: DataType):
+def _scanner(shipped, least: int, key: str, text: str, item_key: str, item_type: DataType, last: bool):
+    """Adds what documents share with one automaton's items to what they share with those before; the last one gives the rows."""
     name, b_type = uuid.uuid4().hex, to_arrow_type(item_type)
+    found_type = pa.list_(pa.struct([("item", b_type), ("longest", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = (name, least)
@@ -233,14 +244,20 @@ def _scanner(shipped, least: int, key: str, item_key: str, item_type: DataType):
             _AUTOMATA[k] = SuffixAutomaton([(i, ws) for i, (_, ws) in enumerate(shipped.value)], least)
         auto, keys = _AUTOMATA[k], [item for item, _ in shipped.value]
         for b in batches:
-            rows: list[tuple] = []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            texts = b.column(1).to_pylist()
+            known = [[(x["item"], x["longest"]) for x in f or []] for f in b.column(2).to_pylist()] if b.num_columns > 2 else [[] for _ in texts]
+            runs = [list(r or []) for r in b.column(3).to_pylist()] if b.num_columns > 2 else [[] for _ in texts]
+            count = [0] * len(texts)
+            for i, t in enumerate(texts):
                 ws = words(t)
+                count[i] = len(ws)
                 best: dict[int, int] = {}
-                covered = reach = 0
+                own: list[int] = []
                 for at, s, n in auto.scan(ws):
-                    covered += at + 1 - max(reach, at + 1 - n)
-                    reach = at + 1
+                    if own and own[-1] + 1 >= at + 1 - n >= own[-2]:
+                        own[-1] = at
+                    else:
+                        own += [at + 1 - n, at]
                     # Items of the state hold the whole run; items further up hold a shorter end of it.
                     while auto.length[s] >= least:
                         for item in auto.items[s]:
@@ -248,7 +265,13 @@ def _scanner(shipped, least: int, key: str, item_key: str, item_type: DataType):
                                 best[item] = n
                         s = auto.link[s]
                         n = min(n, auto.length[s])
-                rows += [(i, keys[item], n, covered, len(ws)) for item, n in best.items()]
+                runs[i] += own
+                known[i] += [(keys[item], n) for item, n in best.items()]
+            if not last:
+                found = pa.array([[{"item": x, "longest": n} for x, n in f] for f in known], found_type)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found, pa.array(runs, pa.list_(pa.int32()))], names=[key, text, "found", "runs"])
+                continue
+            rows = [(i, x, n, c, count[i]) for i, f in enumerate(known) if f for c in [_covered(runs[i])] for x, n in f]
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], b_type), *[pa.array(c, pa.int32()) for c in cols[2:]]],
@@ -258,6 +281,15 @@ def _scanner(shipped, least: int, key: str, item_key: str, item_type: DataType):
     return run
 
 
+def _covered(runs: list[int]) -> int:
+    """Words under any of the runs, given by first and last word."""
+    total = reach = 0
+    for a, z in sorted(zip(runs[::2], runs[1::2])):
+        total += max(0, z + 1 - max(a, reach))
+        reach = max(reach, z + 1)
+    return total
+
+
 def without_leaks(docs: DataFrame, found: DataFrame, key: str = "doc_id", longest: int = 50, coverage: float = 0.2) -> DataFrame:
     """Documents that stay: none of whose shared runs exceeds ``longest`` words or ``coverage`` of their words."""
     bad = found.where((F.col("longest") > longest) | (F.col("covered") > coverage * F.col("words"))).select(key).distinct()

@@ -317,6 +317,10 @@ def test_leaks(spark):
     for block in (leakage.BLOCK_BYTES, 500):
         rows = leakage.leaks(d, t, block_bytes=block).collect()
         assert {(r.doc_id, r.item_id): r.longest for r in rows} == want and len(want) > 10
+        covered = {r.doc_id: (r.covered, r.words) for r in rows}
+        if block == leakage.BLOCK_BYTES:
+            whole = covered
+        assert covered == whole  # however many automata there are
     assert leakage.leaks(d.limit(0), t).count() == 0 == leakage.leaks(d, t.limit(0)).count()
     found = leakage.leaks(d, t)
     left = {r.doc_id for r in leakage.without_leaks(d, found, longest=11).collect()}
