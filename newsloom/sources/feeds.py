@@ -67,10 +67,24 @@ def parse_feeds(bodies: DataFrame, body: str = "body", feed: str = "feed_url") -
     return both.withColumn("url", F.when(F.col("url").startswith("/"), F.concat(root, "url")).otherwise(F.col("url")))
 
 
+_JSON_ITEM = "id string, url string, external_url string, title string, summary string, content_text string, content_html string, date_published string, date_modified string, language string"
+
+
+def parse_json_feeds(bodies: DataFrame, body: str = "body", feed: str = "feed_url") -> DataFrame:
+    """Candidates of JSON feeds, one document a row, by the same rules as the others. What is no such feed gives none."""
+    f = F.from_json(body, f"language string, items array<struct<{_JSON_ITEM.replace(' string', ':string')}>>")
+    i = bodies.select(feed, f.alias("f")).select(feed, F.col("f.language").alias("feed_lang"), F.inline("f.items"))
+    return i.select(
+        feed, F.coalesce(_filled(F.col("url"), F.col("external_url")), F.when(F.col("id").startswith("http"), F.col("id"))).alias("url"), F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce(_filled(F.col("summary"), F.col("content_text"), F.col("content_html")), F.lit("")).alias("summary"),
+        _when(F.col("date_published"), F.col("date_modified")).alias("published_at_ms"), F.coalesce("language", "feed_lang").alias("lang_hint"),
+    ).where("url IS NOT NULL")
+
+
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """Every file of a folder as one document; its path stands for the feed's address."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("feed_url"), F.decode("content", "UTF-8").alias("body"))
-    return parse_feeds(files)
+    return parse_feeds(files).unionByName(parse_json_feeds(files))
 
 
 def parse_graph(lines: DataFrame, line: str = "value", english: bool = True) -> DataFrame:
@@ -102,3 +116,8 @@ def slots(spark: SparkSession, from_ms: int, to_ms: int) -> DataFrame:
     """The quarters of an hour in [from, to), the first floored."""
     q = 900_000
     return spark.range(from_ms // q, -(-to_ms // q)).select((F.col("id") * q).alias("slot_ms"), F.date_format(F.timestamp_millis(F.col("id") * q), "yyyyMMddHHmmss").alias("name"))
+
+
+def slot_address(name: Column, base: str, english: bool = True) -> Column:
+    """Where the export of a slot lies below ``base``."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), name, F.lit(".gkg.csv.zip" if english else ".translation.gkg.csv.zip"))

@@ -53,3 +53,10 @@ def sequence_hash(log: DataFrame, order: list[str], columns: list[str]) -> DataF
     value = F.sha2(F.concat_ws("\x1f", F.col("place").cast("string"), *[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]), 256)
     words = [F.sum(F.conv(F.substring(value, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(4)]
     return n.agg(F.count("*").alias("rows"), *words).select("rows", F.sha2(F.concat_ws(",", *[F.col(f"w{i}").cast("string") for i in range(4)]), 256).alias("hash"))
+
+
+def reset(spark: SparkSession, *paths: str) -> None:
+    """Empties tables and keeps their columns, so that they can be folded anew."""
+    for path in paths:
+        schema = spark.read.parquet(path).schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

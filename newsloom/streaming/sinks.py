@@ -32,7 +32,11 @@ def start(result: DataFrame, root: str, available_now: bool = True) -> Streaming
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}").drop("batch")
+    """What batches whose offset stands have written: the offset goes last and commits the batch, so no reader sees a part of one."""
+    data = spark.read.parquet(f"{root}/{name}")
+    if name != "offsets":
+        data = data.join(spark.read.parquet(f"{root}/offsets").select("batch").distinct(), "batch", "left_semi")
+    return data.drop("batch")
 
 
 def next_offset(spark: SparkSession, root: str) -> DataFrame:

@@ -49,12 +49,26 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def run_batch(log: DataFrame, config: Config | None = None, model: str | None = None) -> DataFrame:
     """One row per input (seq -1, its outcome) and per event, of a whole log."""
-    c = config or Config()
+    return run_configs(log, [config or Config()], model).drop("config")
+
+
+def run_configs(log: DataFrame, configs: list[Config], model: str | None = None) -> DataFrame:
+    """The same under several configurations at once, one task each; ``config`` is their place in the list.
+
+    A task sorts the log, which may spill, and takes it batch by batch: what it
+    holds is the engine's state.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_run(StoryEngine(c, model=model), pdf))
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engines: dict[int, StoryEngine] = {}
+        for pdf in pdfs:
+            for c, part in pdf.groupby("config", sort=True):
+                engine = engines.setdefault(int(c), StoryEngine(configs[int(c)], model=model))
+                yield _frame(_run(engine, part)).assign(config=int(c))
 
-    return log.groupBy("shard").applyInPandas(run, EVENTS)
+    each = log.withColumn("config", F.explode(F.array(*[F.lit(i) for i in range(len(configs))])))
+    ordered = each.repartition(len(configs), "config").sortWithinPartitions("config", "input_offset")
+    return ordered.mapInPandas(run, f"{EVENTS}, config int")
 
 
 def run_stream(log: DataFrame, config: Config | None = None, model: str | None = None) -> DataFrame:
