@@ -1,20 +1,19 @@
 """Operators on vectors of modest tables: centering, exact neighbours, centroids, graphs.
 
 Pairs are formed only within a key, or between a stated set of vectors and
-all, in blocks: the asking side is checked to be small before it is shipped.
+all, in blocks of both: no vector goes through the driver, and no task holds
+more than a block of each side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that are shipped to all tasks at a time; more are asked in further passes.
-SHIP = 20_000
+#: Vectors of a block.
+BLOCK = 8_192
 
 
 def doubles(v: Column) -> Column:
@@ -57,46 +56,48 @@ def centered(df: DataFrame, means: DataFrame, lang: str, vector: str) -> DataFra
 def nearest(asking: DataFrame, all_rows: DataFrame, key: str, vector: str, k: int, earlier: bool = False, least: float = -2.0) -> DataFrame:
     """(q, n, sim, rank): the k rows of ``all_rows`` most like each asking row, not itself; equal ones by lower key.
 
-    The asking side goes out in passes of at most SHIP vectors; each task
-    keeps k per asker, so what is shuffled is k rows per asker and task.
+    Both sides are dealt into blocks by hash, and every block of askers meets
+    every block of rows in a task of its own, which keeps k per asker. Exact,
+    so its work grows with the product of both sides.
     ``earlier``: only rows with a lower key.
     """
-    n = asking.count()
-    passes = max(1, -(-n // SHIP))
-    out = None
-    for p in range(passes):
-        rows = asking.where(F.pmod(F.xxhash64(key), F.lit(passes)) == p).select(key, doubles(F.col(vector)).alias("v")).collect()
-        if not rows:
-            continue
-        ids, q = np.array([r[0] for r in rows]), np.array([r.v for r in rows])
-        part = all_rows.select(key, doubles(F.col(vector)).alias("v")).mapInArrow(_scan(ids, q, k, earlier, least), "q long, n long, sim double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = all_rows.select(F.col(key).cast("long").alias("q"), F.col(key).cast("long").alias("n"), F.lit(0.0).alias("sim")).limit(0)
+    side = lambda df: df.select(F.col(key).cast("long").alias("id"), doubles(F.col(vector)).alias("v"))
+    q, x = side(asking), side(all_rows)
+    nq, nx = (max(1, -(-df.count() // BLOCK)) for df in (q, x))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q, x = q.select("*", block(nq).alias("i"), every(nx).alias("j")), x.select("*", every(nq).alias("i"), block(nx).alias("j"))
+    met = q.groupBy("i", "j").cogroup(x.groupBy("i", "j")).applyInArrow(_met(k, earlier, least), "q long, n long, sim double")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "n")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _scan(ids: np.ndarray, q: np.ndarray, k: int, earlier: bool, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            qs, ns, ss = [], [], []
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _met(k: int, earlier: bool, least: float):
+    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        t = t.combine_chunks()
+        v = t.column("v").combine_chunks()
+        x = np.asarray((v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy(zero_copy_only=False))
+        return t.column("id").to_numpy(), x.reshape(t.num_rows, -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        qs, ns, ss = [], [], []
+        if left.num_rows and right.num_rows:
+            (ids, q), (key, x) = matrix(left), matrix(right)
+            o = np.argsort(key, kind="stable")
+            key, x = key[o], x[o]
             for i in range(0, len(ids), 512):
                 s = np.round(q[i : i + 512] @ x.T, 9)
                 own = ids[i : i + 512][:, None]
                 s = np.where((key >= own) if earlier else (key == own), -np.inf, s)
                 s = np.where(s >= least, s, -np.inf)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k] if b.num_rows > k else np.tile(np.arange(b.num_rows), (len(s), 1))
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 v = np.take_along_axis(s, top, 1)
                 r, c = np.nonzero(np.isfinite(v))
                 qs.append(ids[i : i + 512][r])
                 ns.append(key[top[r, c]])
                 ss.append(v[r, c])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (qs, ns, ss)], names=["q", "n", "sim"])
+        z = lambda parts, d: np.concatenate(parts) if parts else np.empty(0, d)
+        return pa.table({"q": z(qs, np.int64), "n": z(ns, np.int64), "sim": z(ss, np.float64)})
 
     return run
 
