@@ -477,9 +477,12 @@ def near_duplicates(texts: DataFrame, members: DataFrame, stages: Stages | None
     key; copies meet in one ``tid`` and are not paired.
     """
     stages = stages or Stages(texts.sparkSession, "neardup")
-    one = texts.where("text IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text")).withColumn("tid", F.monotonically_increasing_id())
+    members = stages.write(members.where("key IS NOT NULL").select("key", "digest"), "keys")
+    one = texts.where("text IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text"))
+    # Texts that only rows without a key or repeats hold are nobody's.
+    one = one.join(members.select("digest").distinct(), "digest", "left_semi").withColumn("tid", F.monotonically_increasing_id())
     one = stages.write(one, "texts")
-    who = stages.write(members.where("key IS NOT NULL").join(one.select("digest", "tid"), "digest").select("key", "tid"), "members")
+    who = stages.write(members.join(one.select("digest", "tid"), "digest").select("key", "tid"), "members")
     stages.sweep()
     return stages.write(similar_texts(one.select("tid", "text"), stages, threshold, bounds, **hot), "links"), who
 
@@ -500,7 +503,7 @@ def pairs(links: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def groups(links: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame:
-    """(key, group, links): connected groups of near-duplicates by the lowest tid, and the row's number of linked texts.
+    """(key, group, links): connected groups of near-duplicates by their lowest key, and the row's number of linked texts.
 
     Labels pass along links and then jump to the label's own label, until
     none changes; each round is a written table.
@@ -522,6 +525,10 @@ def groups(links: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame:
             break
     else:
         raise RuntimeError("groups did not settle")
-    degree = edges.groupBy("a").agg(F.count("*").alias("links"))
-    out = members.join(label, members.tid == label.v, "left").join(degree, members.tid == degree.a, "left")
-    return out.select("key", F.coalesce("l", "tid").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    # Copies have met in one text already: names are found among texts and go to rows with them.
+    lowest = members.groupBy("tid").agg(F.min("key").alias("low"))
+    named = lowest.join(label, lowest.tid == label.v, "left").select("tid", "low", F.coalesce("l", "tid").alias("l"))
+    named = named.join(named.groupBy("l").agg(F.min("low").alias("group")), "l").select("tid", "group")
+    degree = edges.groupBy(F.col("a").alias("tid")).agg(F.count("*").alias("links"))
+    texts = stages.write(named.join(degree, "tid", "left").select("tid", "group", F.coalesce("links", F.lit(0)).alias("links")), "named")
+    return members.join(texts, "tid").select("key", "group", "links")

@@ -100,6 +100,25 @@ _NEAR = """v AS (
 c AS (SELECT a.o a, b.o b, round(list_cosine_similarity(a.x, b.x), 6) s FROM v a JOIN v b ON a.m = b.m AND a.o <> b.o),
 n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) r FROM c WHERE s >= 0.82)"""
 
+_TEXTS = r"""m AS (
+  SELECT lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) id, trim(regexp_replace(lower(CASE WHEN coalesce(summary, '') = '' THEN coalesce(title, '') ELSE coalesce(title, '') || chr(10) || summary END), '[^\p{L}\p{N}]+', ' ', 'g')) t
+  FROM articles_raw WHERE id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) ORDER BY fetched_at_ms NULLS LAST, raw_offset) = 1),
+x AS (SELECT row_number() OVER (ORDER BY t) tid, t, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) g FROM (SELECT DISTINCT t FROM m WHERE length(t) >= 5)),
+e AS (SELECT tid, len(g) n, unnest(g) k FROM x),
+f AS (SELECT k, count(*) df FROM e GROUP BY 1),
+p AS (SELECT tid, n, k FROM e JOIN f USING (k) QUALIFY row_number() OVER (PARTITION BY tid ORDER BY df, k) <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.tid a, b.tid b FROM p a JOIN p b ON a.k = b.k AND a.tid < b.tid AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+l AS (SELECT a, b FROM (SELECT a, b, len(list_intersect(u.g, v.g)) s, len(u.g) + len(v.g) n FROM c JOIN x u ON u.tid = a JOIN x v ON v.tid = b) WHERE 5 * s >= 4 * (n - s)),
+w AS (SELECT id, tid FROM m JOIN x USING (t))"""
+
 SQL: dict[str, str] = {
+    # Frequent substrings last: two similar sets share one of the first of theirs.
+    "p7_found": f"""WITH {_TEXTS} SELECT least(y.id, z.id) id_a, greatest(y.id, z.id) id_b FROM w y JOIN w z ON y.tid = z.tid AND y.id < z.id
+UNION ALL SELECT least(y.id, z.id), greatest(y.id, z.id) FROM l JOIN w y ON y.tid = a JOIN w z ON z.tid = b""",
+    "p7_groups": f"""WITH RECURSIVE {_TEXTS}, d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT tid a, tid b FROM x UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b),
+n AS (SELECT r.a tid, min(w.id) g FROM r JOIN w ON w.tid = r.b GROUP BY 1)
+SELECT w.id, n.g AS "group", (SELECT count(*) FROM d WHERE d.a = w.tid) links FROM w JOIN n USING (tid)""",
     "p6_found": f"WITH {_NEAR} SELECT DISTINCT least(a, b) offset_a, greatest(a, b) offset_b FROM n WHERE r <= 5",
 }
