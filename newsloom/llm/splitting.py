@@ -3,7 +3,7 @@
 Each token becomes one character of a skeleton that says what kind of boundary
 follows it. Over the skeleton, one regular expression with bounded
 quantifiers extracts the pieces: its alternatives, strongest boundary first,
-take as many tokens as the limit allows. Offsets back into the skeleton give
+take as many tokens as the limit allows, and no fewer than a share of it where there is another boundary. Offsets back into the skeleton give
 the overlap. All but the skeleton is SQL functions on arrays.
 """
 
@@ -21,6 +21,8 @@ from newsloom.llm.encoding import CHARS
 from newsloom.session import spread
 
 LIMIT, OVERLAP = 512, 64
+#: Share of the limit that a piece fills before a stronger boundary counts more than its size.
+FILL = 0.5
 #: Kinds of boundary, strongest first: paragraph, sentence or line, word; within a word; within a character.
 PARAGRAPH, SENTENCE, WORD, INSIDE, BROKEN = "PSWcx"
 
@@ -97,19 +99,20 @@ def skeletons(coder: bpe.ByteBPE, texts: list[str]) -> Iterator[tuple[int, str,
         yield int(b - a), "".join(kind[a:b].tolist()), (pos[a:b] - e.first[i]).astype(np.int32)
 
 
-def pattern(limit: int = LIMIT, overlap: int = OVERLAP) -> str:
+def pattern(limit: int = LIMIT, overlap: int = OVERLAP, fill: float = FILL) -> str:
     """The first piece takes up to ``limit`` tokens, each later one as many less as its overlap may take.
 
     Alternatives, strongest first: as many tokens as fit that end a paragraph,
-    a sentence, a word, a character; a lone character longer than the limit
-    can't be cut and is taken whole.
+    a sentence, a word and are at least the share ``fill`` of the limit; then
+    the same of any number; then a character. A lone character longer than the
+    limit can't be cut and is taken whole.
     """
-    kinds = [PARAGRAPH, SENTENCE, WORD, f"[^{BROKEN}]"]
-    take = lambda n: "|".join(f".{{0,{n - 1}}}{k}" for k in kinds)
+    natural = [PARAGRAPH, SENTENCE, WORD]
+    take = lambda n: "|".join([f".{{{int(fill * n)},{n - 1}}}{k}" for k in natural if int(fill * n) < n] + [f".{{0,{n - 1}}}{k}" for k in [*natural, f"[^{BROKEN}]"]])
     return f"^(?:.{{1,{limit}}}$|{take(limit)})|(?:.{{1,{limit - overlap}}}$|{take(limit - overlap)}|.+?[^{BROKEN}])"
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, name: str = bpe.DEFAULT_NAME, folder: str = bpe.DEFAULT_FOLDER) -> DataFrame:
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, fill: float = FILL, name: str = bpe.DEFAULT_NAME, folder: str = bpe.DEFAULT_FOLDER) -> DataFrame:
     """Pieces of the texts that have more than ``limit`` tokens.
 
     Columns: ``key``, ``piece`` (from 0), ``n_pieces``, ``start`` and ``stop``
@@ -146,7 +149,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
 
     kind = docs.schema[key].dataType.simpleString()
     t = spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, __text string, __skeleton string, __ends array<int>")
-    t = t.withColumn("__cut", F.regexp_extract_all("__skeleton", F.lit(pattern(limit, overlap)), F.lit(0)))
+    t = t.withColumn("__cut", F.regexp_extract_all("__skeleton", F.lit(pattern(limit, overlap, fill)), F.lit(0)))
     # Where each piece's new part ends, in tokens.
     stops = F.aggregate("__cut", F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(c))))
     t = t.withColumn("__stops", stops)

@@ -288,6 +288,15 @@ def test_pieces(spark, reference, limit, overlap):
     assert splitting.pieces(df.limit(0)).count() == 0
 
 
+@needs_files
+def test_an_early_paragraph_does_not_make_a_short_piece(spark):
+    text = "One line.\n\n" + "A sentence of some words stands here. " * 60
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = splitting.pieces(df, limit=100, overlap=0).orderBy("piece").collect()
+    assert got[0].boundary == "sentence" and got[0].n_tokens > 50
+    assert splitting.pieces(df, limit=100, overlap=0, fill=0.0).orderBy("piece").first().n_tokens < 10
+
+
 # Leaks.
 
 
