@@ -29,8 +29,8 @@ NEIGHBOURS, LEAST = 5, 0.82
 KEEP, FROM_BLOCK = 12, 8
 #: How far below the least cosine an edge may lie that the descent walks over.
 SLACK = 0.12
-#: Vectors that a block is meant to hold, up to twice as many, and OVERSIZE times as many at most; sets of hyperplanes for each plane of a set.
-BLOCK, OVERSIZE, TABLES = 1_024, 4, 0.75
+#: Vectors that a block is meant to hold, up to twice as many, and OVERSIZE times as many at most; sets of hyperplanes, and planes of a set for which there is one set more.
+BLOCK, OVERSIZE, TABLES, PLANES = 1_024, 4, 4, 4
 #: Rounds at most, the share of new edges at which they end, and nodes that are measured against each other where many meet.
 ROUNDS, SETTLED, CHUNK = 8, 0.01, 32
 #: Candidates that a vector asks for in a step of the search.
@@ -294,7 +294,7 @@ class Graph:
         self.stages.drop("base")
         self.n = self.nodes.count()
         self.bits = math.floor(math.log2(max(1.0, self.n / block)))
-        self.tables = max(1, math.ceil(TABLES * self.bits))
+        self.tables = TABLES + math.ceil(self.bits / PLANES) if self.bits else 1
         # By hash, so that tasks send only what is drawn.
         share = min(1.0, CENTRE_SAMPLE / max(1, self.n))
         drawn = self.nodes.where(F.pmod(F.xxhash64("nid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").collect()
