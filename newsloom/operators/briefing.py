@@ -35,8 +35,8 @@ def alike(a: frozenset[str], b: frozenset[str]) -> float:
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-def candidates(members: DataFrame, lang: str, per_story: int = 24) -> DataFrame:
-    """The best article of each source of a story, those in the listener's language ahead; the ``per_story`` best of them.
+def candidates(members: DataFrame, lang: str) -> DataFrame:
+    """The best article of each source of a story, those in the listener's language ahead: no more for a story than there are sources.
 
     ``members``: story_id, source_id, lang, title, summary, score. Only what a
     briefing can use is kept before stories are gathered.
@@ -44,7 +44,7 @@ def candidates(members: DataFrame, lang: str, per_story: int = 24) -> DataFrame:
     m = members.withColumn("rank_score", F.col("score") + F.when(F.col("lang") == lang, NATIVE).otherwise(0.0))
     order = (F.desc("rank_score"), F.asc("title"))
     one = m.withColumn("r", F.row_number().over(Window.partitionBy("story_id", "source_id").orderBy(*order))).where("r = 1")
-    best = one.withColumn("r", F.row_number().over(Window.partitionBy("story_id").orderBy(*order, "source_id"))).where(F.col("r") <= per_story)
+    best = one.withColumn("r", F.row_number().over(Window.partitionBy("story_id").orderBy(*order, "source_id")))
     return best.withColumn("spoken", tx.spoken(F.coalesce("summary", F.lit(""))))
 
 

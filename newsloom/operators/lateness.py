@@ -93,7 +93,7 @@ def merge(stored: DataFrame, new: DataFrame, closed_before_ms: int | None = None
     """
     closed = F.lit(False) if closed_before_ms is None else (F.col("hour_ms") + HOUR_MS <= closed_before_ms)
     refused, taken = new.where(closed), new.where(~closed)
-    seen = taken.select("hour_ms", "batch")
-    same = (F.col("s.hour_ms") == F.col("t.hour_ms")) & F.col("s.batch").eqNullSafe(F.col("t.batch"))
-    kept = stored.alias("s").join(seen.alias("t"), same, "left_anti")
-    return kept.unionByName(taken), refused
+    # All that a batch left before goes, also hours that it no longer has; closed hours stay as they are.
+    again = new.select("batch").distinct()
+    kept = stored.where(~closed).alias("s").join(again.alias("t"), F.col("s.batch").eqNullSafe(F.col("t.batch")), "left_anti")
+    return stored.where(closed).unionByName(kept).unionByName(taken), refused

@@ -84,6 +84,8 @@ def test_partials_merge_and_refuse_closed_periods(spark):
     assert {(r.hour_ms, r.n) for r in lateness.combine(kept).collect()} == {(0, 2), (h, 5)}
     again, _ = lateness.merge(kept, new, closed_before_ms=h)
     assert {(r.hour_ms, r.n) for r in lateness.combine(again).collect()} == {(0, 2), (h, 5)}
+    fewer, _ = lateness.merge(kept, new.where("hour_ms = 0").withColumn("hour_ms", F.lit(2 * h).cast("long")), closed_before_ms=h)
+    assert {(r.hour_ms, r.batch) for r in fewer.collect()} == {(0, 1), (h, 1), (2 * h, 2)}  # what the batch no longer has is gone
     assert {(r.hour_ms, r.n) for r in lateness.combine(kept, upto_batch=1).collect()} == {(0, 2), (h, 1)}
 
 
