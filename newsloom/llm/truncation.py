@@ -199,5 +199,10 @@ def truncated(rows: DataFrame, key: str = "raw_offset", source: str = "source_id
 
 
 def by_source(rows: DataFrame, key: str = "raw_offset", source: str = "source_id") -> DataFrame:
-    """How often each source cuts, by field."""
-    return judged(rows, key, source).groupBy(source, "field").agg(F.count("*").alias("n"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("int")).alias("share"))
+    """How often each source cuts, by field; and in how many cut values the final trigram, or a last word that is the rest of one, says so."""
+    tells = F.col("cut") & ((F.coalesce("inside", F.lit(0)) >= LEAST_INSIDE) & F.coalesce(F.col("share") < TERMINAL_SHARE, F.lit(False)))
+    partial = F.col("cut") & F.coalesce("partial", F.lit(False))
+    g = judged(rows, key, source).groupBy(source, "field")
+    return g.agg(
+        F.count("*").alias("n"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("int")).alias("share"), F.count_if(tells).alias("n_trigram"), F.count_if(partial).alias("n_partial")
+    )

@@ -155,6 +155,28 @@ def test_neighbours_within_an_oversized_block(spark):
     assert len(found) == 1000
 
 
+def test_recall_of_small_blocks_and_of_the_search(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((250, 24))
+    x = (centres[rng.integers(0, 250, 4000)] + 0.25 * rng.standard_normal((4000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(y) for y in v], "m") for i, v in enumerate(x)], "o long, v array<float>, g string")
+    g = knn.Graph(df, "o", "v", "g", 24, block=64)
+    assert g.bits >= 5 and g.progress[-1][0] > g.progress[0][0]  # the descent adds to what the blocks give
+    want = exact(dict(enumerate(x)))
+    got = {tuple(r) for r in knn.pairs(g.neighbours()).collect()}
+    assert len(got & want) >= 0.95 * len(want)
+    asked = df.where("o % 100 = 0")
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    truth = set()
+    for i in range(0, 4000, 100):
+        s = np.round((y @ y[i]).astype(float), knn.DIGITS)
+        truth |= {(i, j) for j in sorted((j for j in range(4000) if s[j] >= knn.LEAST), key=lambda j: (-s[j], j))[:5]}
+    found = {(r.key, r.neighbour) for r in g.search(asked, "o", "v", "g").collect()}
+    assert len(found & truth) >= 0.9 * len(truth)
+    with pytest.raises(ValueError):
+        g.neighbours(50)
+
+
 def test_best_of_a_dense_block():
     import pyarrow as pa
 
