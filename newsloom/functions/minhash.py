@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,10 +24,35 @@ def shingle_hash(shingle: Column) -> Column:
     return F.conv(F.substring(F.md5(shingle), 1, 15), 16, 10).cast("long")
 
 
+def permuted(h: np.ndarray, a: int, b: int) -> np.ndarray:
+    """(h * a + b) modulo PRIME, exact in 64 bits: products of halves of 31 bits, in which 2 ** 61 counts as 1."""
+    low, u = np.uint64(2**31 - 1), np.uint64
+    h1, h0, a1, a0 = h >> u(31), h & low, u(a >> 31), u(a & (2**31 - 1))
+    mid = h1 * a0 + h0 * a1
+    total = ((h1 * a1) << u(1)) + (mid >> u(30)) + ((mid & u(2**30 - 1)) << u(31)) + h0 * a0
+    return (total % u(PRIME) + u(b)) % u(PRIME)
+
+
 def signature(hashes: Column, n: int) -> Column:
-    """The least value of each permutation over the hashes, exact in decimals; null for no hashes."""
-    value = lambda a, b: F.array_min(F.transform(hashes, lambda x: ((x.cast("decimal(38,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(b).cast("decimal(19,0)")) % F.lit(PRIME).cast("decimal(19,0)")).cast("long")))
-    return F.when(F.size(hashes) > 0, F.array(*[value(a, b) for a, b in coefficients(n)]))
+    """The least value of each permutation over the hashes, which are of 60 bits; null for no hashes. Over Arrow batches."""
+    pairs = coefficients(n)
+
+    @F.pandas_udf("array<long>")
+    def run(lists: pd.Series) -> pd.Series:
+        filled = [x is not None and len(x) > 0 for x in lists]
+        out: list[np.ndarray | None] = [None] * len(lists)
+        at = np.flatnonzero(filled)
+        # Some hundred lists at a time, so that long ones take no more memory than they have elements.
+        for s in range(0, len(at), 256):
+            own = at[s : s + 256]
+            flat = np.concatenate([np.asarray(lists.iloc[i], np.uint64) for i in own])
+            starts = np.concatenate([[0], np.cumsum([len(lists.iloc[i]) for i in own])[:-1]])
+            low = np.stack([np.minimum.reduceat(permuted(flat, a, b), starts) for a, b in pairs], axis=1).astype(np.int64)
+            for i, row in zip(own, low):
+                out[i] = row
+        return pd.Series(out, dtype=object)
+
+    return run(hashes)
 
 
 def bands(sig: Column, n: int, rows: int) -> Column:
