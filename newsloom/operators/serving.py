@@ -149,3 +149,33 @@ def preferred(rows: DataFrame, key: str, category: str, default: str, first_cate
     """Adds ``place``: the default first, then those of one category, then by name. For a catalogue, which is of bounded size."""
     order = (F.col(key) != default, F.coalesce(F.col(category) != first_category, F.lit(True)), F.col(key))
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def word_starts(rows: DataFrame, key: str, text: str, ms_per_char: int) -> DataFrame:
+    """(key, place, word, utf16, start_ms): each word of a text spoken evenly, with the offset at which a browser finds it.
+
+    Browsers count characters beyond the first plane as two. Null and blank
+    texts have no words; keys are unique.
+    """
+    w = rows.select(key, F.posexplode(F.split(text, r"\s")).alias("__k", "word"))
+    run = Window.partitionBy(key).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    wide = F.length(F.regexp_replace("word", r"[^\x{10000}-\x{10FFFF}]", ""))
+    before = lambda c: F.coalesce(F.sum(c).over(run), F.lit(0))
+    w = w.select(key, "__k", "word", before(F.length("word") + 1 + wide).alias("utf16"), (before(F.length("word") + 1) * ms_per_char).alias("start_ms")).where("word <> ''")
+    return w.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("__k")) - 1).alias("place"), "word", "utf16", "start_ms")
+
+
+def word_at(starts: DataFrame, key: str, time_ms: int) -> DataFrame:
+    """(key, place, word): the word that is spoken at a time, the last that has begun."""
+    g = starts.where(F.col("start_ms") <= time_ms).groupBy(key).agg(F.max(F.struct("place", "word")).alias("w"))
+    return g.select(key, "w.*")
+
+
+def ranking(mem: DataFrame, articles: DataFrame, events: DataFrame, top: int = 20) -> DataFrame:
+    """(list, place, id, sources, members, score): the largest stories now, by sources and members; and the weakest joins."""
+    m = mem.where("to_offset IS NULL").join(articles.select(F.col("id").alias("article_id"), "source_id"), "article_id")
+    g = m.groupBy(F.col("story_id").alias("id")).agg(F.countDistinct("source_id").alias("sources"), F.count("*").alias("members"))
+    best = g.orderBy(F.desc("sources"), F.desc("members"), "id").limit(top).select(F.lit("stories").alias("list"), F.row_number().over(Window.orderBy(F.desc("sources"), F.desc("members"), "id")).alias("place"), "id", "sources", "members", F.lit(None).cast("double").alias("score"))
+    j = events.where("kind = 'article_added'").select(field("article_id").alias("id"), field("score").cast("double").alias("score"), "pos").where("score IS NOT NULL AND id IS NOT NULL")
+    weak = j.orderBy("score", "pos").limit(top).select(F.lit("joins").alias("list"), F.row_number().over(Window.orderBy("score", "pos")).alias("place"), "id", F.lit(None).cast("long").alias("sources"), F.lit(None).cast("long").alias("members"), "score")
+    return best.unionByName(weak)

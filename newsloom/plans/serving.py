@@ -131,11 +131,28 @@ def newest_events(spark: SparkSession, d: str) -> DataFrame:
     return newest(e, 200).withColumn("list", F.lit("all")).unionByName(newest(e.where("kind IN ('split', 'merged')"), 30).withColumn("list", F.lit("lineage")))
 
 
+def title_words(spark: SparkSession, d: str) -> DataFrame:
+    """When and where each word of a title begins, at 60 ms a character."""
+    return serving.word_starts(table(spark, d, "articles_raw").select("raw_offset", "title"), "raw_offset", "title", 60)
+
+
+def word_at_time(spark: SparkSession, d: str) -> DataFrame:
+    """The word that is spoken two seconds into each title."""
+    return serving.word_at(title_words(spark, d), "raw_offset", 2_000)
+
+
+def evaluation_ranking(spark: SparkSession, d: str) -> DataFrame:
+    from newsloom.plans.stories import _articles
+
+    e = _log(spark, d)
+    return serving.ranking(rm.memberships(e), _articles(spark, d), e)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lang_detected, lang_resolved, event_json, event_positions, language_bases, merged_stories, story_family, positions, totals_all, article_search, article_search_stories,
-        late_replay_diff, rerun_windows, usage_by_month, source_order, newest_events,
+        late_replay_diff, rerun_windows, usage_by_month, source_order, newest_events, title_words, word_at_time, evaluation_ranking,
     )
 }
 
@@ -161,7 +178,19 @@ _LATE = lambda src: f"""SELECT * FROM (SELECT id, input_offset, ms < max(ms) OVE
   SELECT input_offset, article.id id, CASE WHEN article.published_at_ms IS NULL OR article.published_at_ms <= 0 OR article.published_at_ms > article.fetched_at_ms + 300000
     THEN article.fetched_at_ms ELSE article.published_at_ms END ms FROM articles_embedded WHERE article.id IS NOT NULL AND {src})) WHERE late"""
 
+_WORDS = r"""t AS (SELECT raw_offset, unnest(string_split_regex(title, '\s')) word, generate_subscripts(string_split_regex(title, '\s'), 1) k FROM articles_raw WHERE title IS NOT NULL),
+u AS (SELECT *, coalesce(sum(length(word) + 1 + length(regexp_replace(word, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) OVER w, 0)::BIGINT utf16, (coalesce(sum(length(word) + 1) OVER w, 0) * 60)::BIGINT start_ms FROM t
+  WINDOW w AS (PARTITION BY raw_offset ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT raw_offset, row_number() OVER (PARTITION BY raw_offset ORDER BY k) - 1 place, word, utf16, start_ms FROM u WHERE word <> '')"""
+
 SQL = {
+    "title_words": f"WITH {_WORDS} SELECT * FROM x",
+    "word_at_time": f"WITH {_WORDS} SELECT raw_offset, place, word FROM x WHERE start_ms <= 2000 QUALIFY row_number() OVER (PARTITION BY raw_offset ORDER BY place DESC) = 1",
+    "evaluation_ranking": f"""WITH {_LOG}, {_MEM}, {_ART},
+g AS (SELECT story_id id, count(DISTINCT source_id) sources, count(*) members FROM mem JOIN art ON art.id = article_id WHERE to_offset IS NULL GROUP BY 1),
+j AS (SELECT {_J('article_id')} id, {_J('score')}::DOUBLE score, pos FROM ev WHERE kind = 'article_added')
+SELECT 'stories' list, row_number() OVER (ORDER BY sources DESC, members DESC, id) place, id, sources, members, NULL::DOUBLE score FROM g QUALIFY place <= 20
+UNION ALL SELECT 'joins', row_number() OVER (ORDER BY score, pos) place, id, NULL, NULL, score FROM j WHERE score IS NOT NULL AND id IS NOT NULL QUALIFY place <= 20""",
     "lang_detected": f"WITH {_DET} SELECT * FROM det",
     "lang_resolved": f"""WITH {_DET}, x AS (SELECT raw_offset, f.lang configured, lower(split_part(replace(trim(a.lang), '_', '-'), '-', 1)) b FROM articles_raw a LEFT JOIN feed_sources f ON f.source_id = split_part(a.source_id, ':', 1)),
 h AS (SELECT raw_offset, configured, {_CODE} hint FROM x)

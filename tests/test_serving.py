@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import detect, embedding, serving
 from newsloom.operators import readmodel as rm
 from newsloom.sources import feeds, logs
-from newsloom.streaming import live
+from newsloom.streaming import jobs, live
 
 
 def test_positions(spark):
@@ -116,3 +116,24 @@ def test_event_text(spark):
     e = rm.log(spark.createDataFrame(rows, "feed_pos long, input_offset long, seq int, kind string, story_id string, payload string, event_time_ms long, watermark_ms long"))
     got = [r.payload for r in serving.event_json(e).orderBy("input_offset").collect()]
     assert '"watermark":null' in got[0] and '"children":[{"story_id":"k","article_count":2},{"story_id":"l","article_count":0}]' in got[1] and len(got) == 2
+
+
+def test_words_of_a_transcript(spark):
+    df = spark.createDataFrame([(1, "a 😀b  cd"), (2, None), (3, " "), (4, "")], "k long, t string").withColumn("place", F.lit("clash"))
+    w = serving.word_starts(df, "k", "t", 10)
+    assert [(r.k, r.place, r.word, r.utf16, r.start_ms) for r in w.orderBy("k", "place").collect()] == [(1, 0, "a", 0, 0), (1, 1, "😀b", 2, 20), (1, 2, "cd", 7, 60)]
+    assert [(r.k, r.word) for r in serving.word_at(w, "k", 59).collect()] == [(1, "😀b")]
+
+
+def test_one_job_at_a_time(spark, tmp_path):
+    p = str(tmp_path / "jobs")
+    assert jobs.current(spark, p).count() == 0
+    jobs.move(spark, p, "a", "queued")
+    with pytest.raises(ValueError):
+        jobs.move(spark, p, "b", "queued")
+    with pytest.raises(ValueError):
+        jobs.move(spark, p, "a", "done")
+    jobs.move(spark, p, "a", "running")
+    assert jobs.recover(spark, p) == 1 and jobs.recover(spark, p) == 0
+    jobs.move(spark, p, "b", "queued")
+    assert {(r.job, r.state, r.note) for r in jobs.current(spark, p).collect()} == {("a", "failed", "interrupted"), ("b", "queued", None)}
