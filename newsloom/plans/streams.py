@@ -79,7 +79,7 @@ def story_engine_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def story_engine_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    r = stories.run_batch(stories.inputs(table(spark, d, "articles_embedded")))
+    r = stories.run_batch(stories.inputs(table(spark, d, "articles_embedded")), tell=False)
     return stories.outcomes_of(r).groupBy("outcome", "late").agg(F.count("*").alias("n"))
 
 

@@ -86,3 +86,18 @@ def test_runs_on_spark_share_what_depends_on_one_article(spark):
     rows = [{**r.asDict(), "vector": np.asarray(r.vector, float)} for r in log.orderBy("input_offset").collect()]
     assert got == [(k, i, *o) for k, c in enumerate(configs) for i, o in enumerate(x[:2] for x in StoryEngine(c).process_all(rows, range(300)))]
     assert plan.count("MapInPandas") >= 2 and "SinglePartition" in plan
+
+
+def test_outcomes_are_counted_without_making_events(spark, tiny, monkeypatch):
+    from newsloom.plans import streams
+    from newsloom.session import table
+    from newsloom.streaming import stories
+
+    whole = stories.outcomes_of(stories.run_batch(stories.inputs(table(spark, tiny, "articles_embedded")))).collect()
+    told, run = [], stories.run_batch
+    monkeypatch.setattr(stories, "run_batch", lambda *a, **k: told.append(r := run(*a, **k)) or r)
+    want = {}
+    for r in whole:
+        want[r.outcome, r.late] = want.get((r.outcome, r.late), 0) + 1
+    assert {(r.outcome, r.late): r.n for r in streams.story_engine_outcomes(spark, tiny).collect()} == want and sum(want.values()) == len(whole)
+    assert stories.events_of(told[0]).count() == 0
