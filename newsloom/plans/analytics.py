@@ -94,7 +94,7 @@ def latency_stats(spark: SparkSession, d: str) -> DataFrame:
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     """The engine's outcomes under a grid of thresholds, one row each."""
     grid = [(n, c) for n in (0.5, 0.8) for c in (0.5, 0.8)]
-    all_runs = stories.run_configs(stories.inputs(table(spark, d, "articles_embedded")), [Config(neighbor=n, centroid=c) for n, c in grid])
+    all_runs = stories.run_configs(stories.inputs(table(spark, d, "articles_embedded")), [Config(neighbor=n, centroid=c) for n, c in grid], tell=False)
     count = lambda label: F.count_if((F.col("seq") == -1) & (F.col("outcome") == label))
     g = all_runs.groupBy("config").agg(count("created").alias("stories"), count("joined").alias("joined"), count("late_dropped").alias("late_dropped"))
     setting = F.element_at(F.array(*[F.struct(F.lit(n).alias("neighbor"), F.lit(c).alias("centroid")) for n, c in grid]), F.col("config") + 1).alias("s")

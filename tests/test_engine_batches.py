@@ -101,3 +101,21 @@ def test_outcomes_are_counted_without_making_events(spark, tiny, monkeypatch):
         want[r.outcome, r.late] = want.get((r.outcome, r.late), 0) + 1
     assert {(r.outcome, r.late): r.n for r in streams.story_engine_outcomes(spark, tiny).collect()} == want and sum(want.values()) == len(whole)
     assert stories.events_of(told[0]).count() == 0
+
+
+def test_each_configuration_runs_in_a_task_of_its_own(spark):
+    from pyspark import TaskContext
+
+    from newsloom.streaming import stories
+
+    log, run = stories.inputs(synth.stream(spark, 60, seed=5, dim=16, topics=16)), stories._run
+
+    def named(engine, pdf):
+        return [(*r[:2], str(TaskContext.get().taskAttemptId()), *r[3:]) for r in run(engine, pdf)]
+
+    stories._run = named
+    try:
+        got = stories.run_configs(log, [Config(), Config(neighbor=0.8), Config(k=3)], tell=False).select("config", "outcome").distinct().collect()
+    finally:
+        stories._run = run
+    assert len({r.config for r in got}) == 3 == len({r.outcome for r in got})
